@@ -4,23 +4,26 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their distinct word s
 result names each document's component, so links inside a group that is already known to be
 connected need not be enumerated; no link that could join two groups is skipped.
 
-1. One pass over the texts finds *common* shingles (in at least one document of 400), a
-   list whose length is bounded by the mean set size times 400 whatever the corpus.
-2. One pass gives each document its set's size, a 128-bit class key (equal sets are one
-   class) and its *prefix*: the first ``n - ceil(0.75 n) + 1`` shingles in the order (common,
-   hash). Two sets that link share a shingle of both prefixes, whatever the order, so the
-   order only decides how many rows meet; common shingles come last.
-3. Each class sends its prefix keys; keys of one class only go.
-4. Within a key, each class is paired with the key's first and last class; these pairs, at
-   most twice as many as there are rows, are verified and joined to components.
-5. What is left to find are links between different components. Keys that hold two or more
-   components meet in tiles: (key, size band, salt). Inside a tile the parity bitmaps of
-   two sets bound their overlap from above, and only pairs that pass go on to the exact
-   intersection of sorted arrays. A large key is dealt over as many salts as it needs.
+1. One pass over the texts gives each document its set's size, a 128-bit class key (equal sets
+   are one class) and a parity bitmap, and finds *common* shingles (in about one document of
+   400), a list whose length is bounded by the mean set size times 800 whatever the corpus.
+2. A second pass takes each class's *prefix*: the first ``n - ceil(0.75 n) + 1`` shingles in the
+   order (common, hash). Two sets that link share a shingle of both prefixes, whatever the
+   order, so the order only decides how many rows meet. Prefixes travel as packed arrays of
+   (hash, id), dealt by hash; only hashes that two documents have come out again, as keys.
+3. Within a key, each class is paired with the key's first and last class: at most twice as
+   many pairs as rows. Those that pass the size and bitmap bounds are verified by
+   intersecting their sorted arrays, and joined to components.
+4. What is left to find are links between different components. Keys that hold two or more
+   components meet in tiles: (key, size band, salt). Inside a tile the same bounds hold, and
+   the pairs that pass are verified. A large key is dealt over as many salts as it needs.
 
 Why the bitmap bounds: bit j holds the parity of a set's shingles that hash to j. Where two
 bitmaps differ, at least one shingle is in one set only, so |A ^ B| >= popcount(a ^ b) and
 2 |A & B| <= |A| + |B| - popcount(a ^ b).
+
+Whole shingle sets move only for documents of pairs that passed the bounds; they are made anew
+from the texts, which never move themselves.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ WORDS, PERCENT = 5, 75
 #: A shingle is common if one of so many documents has it.
 COMMON = 400
 #: Documents whose shingles are counted together in the search for common ones.
-SLICE = 4096
+SLICE, SLICE_SHINGLES = 4096, 4 << 20
+#: Prefix entries of a bucket on average.
+BUCKET_ENTRIES = 1 << 19
 #: Bitmap words of 64 bits.
 BITMAP = 8
 #: Rows of a key that one salt of a tile holds.
@@ -54,41 +59,45 @@ def least_overlap(n: Column, m: Column, percent: int = PERCENT) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
-def _common_kernel(k: int, table: np.ndarray, share: int):
+def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataFrame:
+    """``id, n, class, bits`` of every document; besides, with null bits and class, hashes (as id) that are common in a slice, and their documents (as n)."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "class", "bits", "common"]
         held: dict[bytes, np.ndarray] = {}
-        seen = 0
+        seen = size = 0
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.int64)]), return_counts=True)
             keep = n >= max(8, seen // share)
-            return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep])], names=["h", "n"])
+            m = int(keep.sum())
+            return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.array([True] * m, type=pa.bool_())], names=names)
 
-        size = 0
         for batch in batches:
-            texts = bytes_of(batch.column(0))
+            texts = bytes_of(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts]):
-                for s in shingle_sets(texts[lo:hi], table, k):
+                sets = shingle_sets(texts[lo:hi], table, k)
+                keys = [class_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array([bitmap(s) for s in sets], type=pa.list_(pa.int64())), pa.array([False] * len(sets), type=pa.bool_())],
+                    names=names,
+                )
+                for s, key in zip(sets, keys, strict=True):
                     seen += 1
-                    key = hashlib.blake2b(s, digest_size=16).digest()
                     if len(s) and key not in held:
                         held[key] = s
                         size += len(s)
-                if seen >= SLICE or size >= 4 << 20:
+                if seen >= SLICE or size >= SLICE_SHINGLES:
                     yield counted()
                     held, seen, size = {}, 0, 0
         if held:
             yield counted()
 
-    return kernel
+    return map_batches(docs, kernel, "id long, n long, class binary, bits array<long>, common boolean")
 
 
-def common_shingles(docs: DataFrame, k: int, table: np.ndarray, share: int = COMMON) -> np.ndarray:
-    """Sorted hashes of common shingles: at most (mean set size * 2 * share), as each is in 1 of 2 * share documents."""
-    total = docs.count()
-    found = map_batches(docs.select("text"), _common_kernel(k, table, share), "h long, n long")
-    rows = found.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // (2 * share))).select("h").toArrow()
-    return np.sort(rows.column(0).to_numpy())
+def class_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s, digest_size=16).digest()
 
 
 def prefix(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -108,54 +117,136 @@ def bitmap(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(docs: DataFrame, k: int, table: np.ndarray, percent: int, common: np.ndarray) -> DataFrame:
+def _packed(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, keys, first id, id steps) of packed prefix entries."""
+    order = np.argsort(ids, kind="stable")
+    keys, ids = keys[order], ids[order]
+    bucket = (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by])) + 1
+    rows: list[tuple] = []
+    for part in np.split(by, cuts) if len(by) else []:
+        own = ids[part]
+        wide = int(own[-1]) - int(own[0]) >= 1 << 32
+        rows.append((int(bucket[part[0]]), keys[part].tobytes(), int(own[0]), (own if wide else (own - own[0]).astype(np.uint32)).tobytes()))
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "keys", "first", "steps"])
+
+
+def _unpacked(keys: bytes, first: int, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = np.frombuffer(keys, dtype=np.int64)
+    if len(steps) == len(keys):
+        return k, np.frombuffer(steps, dtype=np.int64)
+    return k, np.frombuffer(steps, dtype=np.uint32).astype(np.int64) + first
+
+
+def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
+    """``key, id``: prefix hashes that two ids have, one id per class and task at least."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen = shared.value, set()
+        keys: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            texts = bytes_of(batch.column(1))
+            texts, names = bytes_of(batch.column(1)), batch.column(0).to_pylist()
             for lo, hi in chunks([len(t) for t in texts]):
-                sets = shingle_sets(texts[lo:hi], table, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[lo:hi],
-                        pa.array([len(s) for s in sets], type=pa.int64()),
-                        pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], type=pa.binary()),
-                        pa.array([prefix(s, order, percent) for s in sets], type=pa.list_(pa.int64())),
-                    ],
-                    names=["id", "n", "class", "prefix"],
-                )
+                for i, s in zip(names[lo:hi], shingle_sets(texts[lo:hi], table, k), strict=True):
+                    key = class_key(s)
+                    if not len(s) or i is None or key in seen:
+                        continue
+                    seen.add(key)
+                    keys.append(prefix(s, order, percent))
+                    ids.append(np.full(len(keys[-1]), i, dtype=np.int64))
+                    size += len(keys[-1])
+            if size >= 1 << 20:
+                yield _packed(np.concatenate(keys), np.concatenate(ids), buckets)
+                keys, ids, size = [], [], 0
+                if len(seen) > 1 << 17:
+                    seen.clear()
+        if size:
+            yield _packed(np.concatenate(keys), np.concatenate(ids), buckets)
+
+    def repeated(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """A bucket's entries whose key two ids have; taken in ranges so that a large bucket needs little more than itself."""
+        total = sum(len(x[0]) for x in parts)
+        ranges = max(1, -(-total // (1 << 21)))
+        for r in range(ranges):
+            pick = [(x[0].view(np.uint64) & np.uint64(0xFFFF)) % np.uint64(ranges) == np.uint64(r) for x in parts] if ranges > 1 else [slice(None)] * len(parts)
+            key, i = (np.concatenate([x[c][p] for x, p in zip(parts, pick, strict=True)]) for c in (0, 1))
+            order = np.lexsort((i, key))
+            key, i = key[order], i[order]
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1])
+            key, i = key[fresh], i[fresh]
+            twin = np.zeros(len(key), dtype=bool)
+            same = key[1:] == key[:-1]
+            twin[1:] |= same
+            twin[:-1] |= same
+            key, i = key[twin], i[twin]
+            for lo in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(i[lo : lo + (1 << 16)])], names=["key", "id"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for bucket, keys, first, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now and parts:
+                    yield from repeated(parts)
+                    parts = []
+                now = bucket
+                parts.append(_unpacked(keys, first, steps))
+        if parts:
+            yield from repeated(parts)
+
+    packed = map_batches(docs, pack, "bucket long, keys binary, first long, steps binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "key long, id long")
 
-    return map_batches(docs, kernel, "id long, n long, class binary, prefix array<long>")
+
+def _wanted_bits(ids: DataFrame, n: int) -> np.ndarray:
+    """A one-hash filter over ids: at least 16 bits for each of n, at most 2^27 bits (then it only passes more)."""
+    words = 1 << min(21, max(8, int(np.ceil(np.log2(max(1, n * 16 / 64))))))
+    rows = ids.selectExpr(f"pmod(xxhash64(id), {words * 64}) AS at").selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, CAST(at & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(words, dtype=np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
 
 
 def _sets(docs: DataFrame, k: int, table: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """``node, n, bits, set`` of the classes whose representative is wanted, made anew from their texts."""
+    """``node, set`` of the wanted (id, class, node), made anew from the texts of ids that pass a filter."""
+    bits = _wanted_bits(wanted, wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    at = F.pmod(F.xxhash64("id"), F.lit(len(bits) * 64))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((shared.value[place >> 6] >> (place & 63)) & 1 == 1))
             texts = bytes_of(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts]):
                 sets = shingle_sets(texts[lo:hi], table, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[lo:hi],
-                        pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], type=pa.binary()),
-                        pa.array([len(s) for s in sets], type=pa.int64()),
-                        pa.array([bitmap(s) for s in sets], type=pa.list_(pa.int64())),
-                        pa.array(sets, type=pa.list_(pa.int64())),
-                    ],
-                    names=["id", "class", "n", "bits", "set"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([class_key(s) for s in sets], type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "class", "set"])
 
-    texts = docs.join(wanted.select("id").distinct(), "id", "left_semi")
-    made = map_batches(texts, kernel, "id long, class binary, n long, bits array<long>, set array<long>")
-    return made.join(wanted.select("id", "class", "node"), ["id", "class"]).dropDuplicates(["node"]).select("node", "n", "bits", "set")
+    made = map_batches(docs.where("id IS NOT NULL").select("id", "text", at.alias("place")), kernel, "id long, class binary, set array<long>")
+    return made.join(wanted.select("id", "class", "node"), ["id", "class"]).dropDuplicates(["node"]).select("node", "set")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def could_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and bitmaps allow a link of the sets whose columns end in a and b."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    differ = sum((F.bit_count(F.col(f"bits{a}")[i].bitwiseXOR(F.col(f"bits{b}")[i])) for i in range(BITMAP)), F.lit(0))
+    need = least_overlap(n, m, percent)
+    return (2 * need <= n + m - differ) & (need <= F.least(n, m))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes whose sets link, by intersection of their sorted arrays."""
+    pairs = cut(pairs)
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut(_sets(docs, k, table, nodes.join(used, "node", "left_semi"))) if not pairs.isEmpty() else None
+    if sets is None:
+        return pairs
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,23 +259,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), kernel, "a long, b long")
+    return cut(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), kernel, "a long, b long"))
 
 
-def _tiled(entries: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+def _tiled(entries: DataFrame, nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     """Candidate pairs between components: same key, sizes that can link, bitmaps that can overlap enough."""
-    per = entries.groupBy("key").agg(F.min("component").alias("lo_part"), F.max("component").alias("hi_part")).where("lo_part <> hi_part").select("key")
-    open_ = entries.select("key", "node", "component", "n", "rows").join(per, "key").join(sets.select("node", "bits"), "node")
+    per = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
+    open_ = entries.join(per, "key").join(nodes.select("node", "n", "bits"), "node")
     # A linking pair's sizes differ by less than 100/percent, so its bands are equal or next to each other.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     open_ = open_.withColumn("band", band).withColumn("salts", F.ceil(F.col("rows") / tile).cast("int"))
     left = open_.select("key", "band", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "bits", "band")))
     spread = F.explode(F.expr("flatten(transform(array(band, band - 1), b -> transform(sequence(0, salts - 1), s -> struct(b AS band, s AS salt))))")).alias("t")
     right = open_.select("key", spread, *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "bits", "band"))).select("key", F.col("t.band").alias("band"), F.col("t.salt").alias("salt"), "node_b", "component_b", "n_b", "bits_b", "band_b")
-    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
     # Each pair once: the larger band on the right, or the larger node within a band.
     once = (F.col("band_a") < F.col("band_b")) | (F.col("node_a") < F.col("node_b"))
-    could = once & (F.col("component_a") != F.col("component_b")) & (2 * least_overlap(F.col("n_a"), F.col("n_b"), percent) <= F.col("n_a") + F.col("n_b") - differ) & (least_overlap(F.col("n_a"), F.col("n_b"), percent) <= F.least("n_a", "n_b"))
+    could = once & (F.col("component_a") != F.col("component_b")) & could_link("_a", "_b", percent)
     joined = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & (left["salt"] == right["salt"]) & could)
     return joined.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
@@ -200,24 +290,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever their names; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(_signatures(docs, k, table, percent, common_shingles(docs, k, table, share)))
+    first = cut(_first_pass(docs, k, table, share))
+    sig = first.where("NOT common").select("id", "n", "class", "bits")
+    total = sig.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    often = first.where("common").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total.docs // (2 * share))).select("id").toArrow()
+    common = np.sort(often.column(0).to_numpy())  # bounded: each is in one of 2 * share documents
     real = sig.where("id IS NOT NULL AND n > 0")
     # Numbers for classes: any will do once they are written, as documents get their smallest id back at the end.
-    nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.min("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
     member = cut(real.select("id", "class").distinct().join(nodes.select("class", "node"), "class").select("id", "node"))
 
-    reps = real.select("class", "id", "prefix").join(nodes, ["class", "id"]).dropDuplicates(["node"])
-    rows = reps.select(F.explode("prefix").alias("key"), "node", "n")
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("rows > 1")
-    entries = cut(rows.join(many, "key"))
-    sets = cut(_sets(docs, k, table, nodes.join(entries.select("node").distinct(), "node", "left_semi")))
-
-    star = lambda hub: entries.where(f"node <> {hub}").select(F.greatest("node", hub).alias("a"), F.least("node", hub).alias("b"))
+    buckets = min(1 << 16, max(1, -(-total.shingles // (4 * BUCKET_ENTRIES))))
+    entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").select("key", "node").distinct()
+    entries = cut(entries)
+    hubs = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    starred = entries.join(hubs, "key")
+    star = lambda hub: starred.where(f"node <> {hub}").select(F.greatest("node", hub).alias("a"), F.least("node", hub).alias("b"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    likely = star("lo").union(star("hi")).distinct().join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
     ids = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi")
     same_id = member.join(ids.select("id", "b"), "id").where("node <> b").select(F.col("node").alias("a"), "b")
-    links = cut(_verified(star("lo").union(star("hi")).distinct(), sets, percent).union(same_id))
+    links = cut(_verified(likely, docs, nodes, k, table, percent).union(same_id))
     label = lambda df, parts: df.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    links = cut(links.union(_verified(_tiled(label(entries, components(links)), sets, percent, tile), sets, percent)))
+    links = links.union(_verified(_tiled(label(entries, components(links)), nodes, percent, tile), docs, nodes, k, table, percent))
     named = label(member, components(links))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
