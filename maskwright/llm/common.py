@@ -11,6 +11,7 @@ Every operator takes a DataFrame and returns one; the helpers here keep three pr
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -46,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files of frames that are gone: it does so when its driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound Arrow batches of this session; a smaller bound that is already set stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

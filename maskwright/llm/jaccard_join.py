@@ -6,14 +6,14 @@ connected need not be enumerated; no link that could join two groups is skipped.
 
 1. One pass over the texts gives each document its set's size, a 128-bit class key (equal sets
    are one class) and a parity bitmap, and finds *common* shingles (in about one document of
-   400), a list whose length is bounded by the mean set size times 800 whatever the corpus.
+   2000), a list whose length is bounded by the mean set size times 4000 whatever the corpus.
 2. A second pass takes each class's *prefix*: the first ``n - ceil(0.75 n) + 1`` shingles in the
    order (common, hash). Two sets that link share a shingle of both prefixes, whatever the
    order, so the order only decides how many rows meet. Prefixes travel as packed arrays of
    (hash, id), dealt by hash; only hashes that two documents have come out again, as keys.
-3. Within a key, each class is paired with the key's first and last class: at most twice as
-   many pairs as rows. Those that pass the size and bitmap bounds are verified by
-   intersecting their sorted arrays, and joined to components.
+3. Within a key, each class is paired with the key's first class: at most as many pairs as
+   rows. Those that pass the size and bitmap bounds are verified by intersecting their
+   sorted arrays, and joined to components.
 4. What is left to find are links between different components. Keys that hold two or more
    components meet in tiles: (key, size band, salt). Inside a tile the same bounds hold, and
    the pairs that pass are verified. A large key is dealt over as many salts as it needs.
@@ -22,6 +22,9 @@ Why the bitmap bounds: bit j holds the parity of a set's shingles that hash to j
 bitmaps differ, at least one shingle is in one set only, so |A ^ B| >= popcount(a ^ b) and
 2 |A & B| <= |A| + |B| - popcount(a ^ b).
 
+A short bitmap travels with each row, one as long as the set with each pair: parities of half
+as many bits are the exclusive or of the halves, so bitmaps of two lengths compare.
+
 Whole shingle sets move only for documents of pairs that passed the bounds; they are made anew
 from the texts, which never move themselves.
 """
@@ -36,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, cut, map_batches
+from .common import bytes_of, chunks, cut, map_batches, release
 from .components import components
 from .shingles import WHITE, mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 75
 #: A shingle is common if one of so many documents has it.
-COMMON = 400
+COMMON = 2000
 #: Documents whose shingles are counted together in the search for common ones.
 SLICE, SLICE_SHINGLES = 4096, 4 << 20
 #: Prefix entries of a bucket on average.
@@ -59,19 +62,36 @@ def least_overlap(n: Column, m: Column, percent: int = PERCENT) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
+def wide_bitmap(s: np.ndarray) -> bytes:
+    """Parities of the shingles over about as many bits as there are shingles, at least 512."""
+    size = 1 << max(9, int(len(s) - 1).bit_length()) if len(s) else 512
+    bits = np.bincount((mix(s.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ between two wide bitmaps, the longer one folded: a bound from below of |A ^ B|."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataFrame:
     """``id, n, class, bits`` of every document; besides, with null bits and class, hashes (as id) that are common in a slice, and their documents (as n)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "class", "bits", "common"]
+        names = ["id", "n", "class", "bits", "wide", "common"]
         held: dict[bytes, np.ndarray] = {}
         seen = size = 0
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.int64)]), return_counts=True)
-            keep = n >= max(8, seen // share)
+            keep = n >= max(3, seen // share)
             m = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.array([True] * m, type=pa.bool_())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array([True] * m, type=pa.bool_())], names=names)
 
         for batch in batches:
             texts = bytes_of(batch.column(1))
@@ -79,7 +99,7 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataF
                 sets = shingle_sets(texts[lo:hi], table, k)
                 keys = [class_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array([bitmap(s) for s in sets], type=pa.list_(pa.int64())), pa.array([False] * len(sets), type=pa.bool_())],
+                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array([bitmap(s) for s in sets], type=pa.list_(pa.int64())), pa.array([wide_bitmap(s) for s in sets], type=pa.binary()), pa.array([False] * len(sets), type=pa.bool_())],
                     names=names,
                 )
                 for s, key in zip(sets, keys, strict=True):
@@ -93,7 +113,7 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataF
         if held:
             yield counted()
 
-    return map_batches(docs, kernel, "id long, n long, class binary, bits array<long>, common boolean")
+    return map_batches(docs, kernel, "id long, n long, class binary, bits array<long>, wide binary, common boolean")
 
 
 def class_key(s: np.ndarray) -> bytes:
@@ -213,8 +233,8 @@ def _wanted_bits(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, k: int, table: np.ndarray, wanted: DataFrame) -> DataFrame:
-    """``node, set`` of the wanted (id, class, node), made anew from the texts of ids that pass a filter."""
+def _sets(docs: DataFrame, k: int, table: np.ndarray, wanted: DataFrame, unique: bool) -> DataFrame:
+    """``id, class, set`` of ids that pass a filter for the wanted ones, made anew from their texts."""
     bits = _wanted_bits(wanted, wanted.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     at = F.pmod(F.xxhash64("id"), F.lit(len(bits) * 64))
@@ -229,7 +249,7 @@ def _sets(docs: DataFrame, k: int, table: np.ndarray, wanted: DataFrame) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([class_key(s) for s in sets], type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "class", "set"])
 
     made = map_batches(docs.where("id IS NOT NULL").select("id", "text", at.alias("place")), kernel, "id long, class binary, set array<long>")
-    return made.join(wanted.select("id", "class", "node"), ["id", "class"]).dropDuplicates(["node"]).select("node", "set")
+    return made if unique else made.dropDuplicates(["id", "class"])
 
 
 def could_link(a: str, b: str, percent: int) -> Column:
@@ -240,13 +260,26 @@ def could_link(a: str, b: str, percent: int) -> Column:
     return (2 * need <= n + m - differ) & (need <= F.least(n, m))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table: np.ndarray, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose wide bitmaps allow a link, with what finds their texts."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
+            keep = [100 * (p + q - d) >= percent * (p + q + d) for p, q, d in zip(n, m, map(differing, x, y), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), kernel, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table: np.ndarray, percent: int, unique: bool) -> DataFrame:
     """Pairs (a, b) of nodes whose sets link, by intersection of their sorted arrays."""
-    pairs = cut(pairs)
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(_sets(docs, k, table, nodes.join(used, "node", "left_semi"))) if not pairs.isEmpty() else None
-    if sets is None:
-        return pairs
+    left, right = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"), F.col("class").alias(f"class_{x}")) for x in "ab")
+    pairs = cut(_bounded(pairs, nodes, percent).join(left, "a").join(right, "b"))
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    sets = _sets(docs, k, table, pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct(), unique)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +291,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return cut(map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), kernel, "a long, b long"))
+    side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("class").alias(f"class_{x}"), F.col("set").alias(f"set_{x}"))
+    both = pairs.join(side("a"), ["id_a", "class_a"]).join(side("b"), ["id_b", "class_b"])
+    out = cut(map_batches(both.select("a", "b", "set_a", "set_b"), kernel, "a long, b long"))
+    release(docs.sparkSession)
+    return out
 
 
 def _tiled(entries: DataFrame, nodes: DataFrame, percent: int, tile: int) -> DataFrame:
@@ -291,28 +327,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = cut(_first_pass(docs, k, table, share))
-    sig = first.where("NOT common").select("id", "n", "class", "bits")
-    total = sig.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
-    often = first.where("common").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total.docs // (2 * share))).select("id").toArrow()
+    sig = first.where("NOT common").select("id", "n", "class", "bits", "wide")
+    total = sig.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct")).first()
+    unique = total.ids == total.distinct
+    often = first.where("common").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, total.docs // (2 * share))).select("id").toArrow()
     common = np.sort(often.column(0).to_numpy())  # bounded: each is in one of 2 * share documents
     real = sig.where("id IS NOT NULL AND n > 0")
     # Numbers for classes: any will do once they are written, as documents get their smallest id back at the end.
-    nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).withColumn("node", F.monotonically_increasing_id()))
     member = cut(real.select("id", "class").distinct().join(nodes.select("class", "node"), "class").select("id", "node"))
 
     buckets = min(1 << 16, max(1, -(-total.shingles // (4 * BUCKET_ENTRIES))))
     entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").select("key", "node").distinct()
     entries = cut(entries)
-    hubs = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    starred = entries.join(hubs, "key")
-    star = lambda hub: starred.where(f"node <> {hub}").select(F.greatest("node", hub).alias("a"), F.least("node", hub).alias("b"))
+    release(docs.sparkSession)
+    hubs = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo")
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    likely = star("lo").union(star("hi")).distinct().join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
+    star = entries.join(hubs, "key").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+    likely = star.join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
     ids = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi")
     same_id = member.join(ids.select("id", "b"), "id").where("node <> b").select(F.col("node").alias("a"), "b")
-    links = cut(_verified(likely, docs, nodes, k, table, percent).union(same_id))
+    links = cut(_verified(likely, docs, nodes, k, table, percent, unique).union(same_id))
     label = lambda df, parts: df.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    links = links.union(_verified(_tiled(label(entries, components(links)), nodes, percent, tile), docs, nodes, k, table, percent))
+    links = links.union(_verified(_tiled(label(entries, components(links)), nodes, percent, tile), docs, nodes, k, table, percent, unique))
     named = label(member, components(links))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
