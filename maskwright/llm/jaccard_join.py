@@ -11,9 +11,10 @@ connected need not be enumerated; no link that could join two groups is skipped.
    order (common, hash). Two sets that link share a shingle of both prefixes, whatever the
    order, so the order only decides how many rows meet. Prefixes travel as packed arrays of
    (hash, id), dealt by hash; only hashes that two documents have come out again, as keys.
-3. Within a key, each class is paired with the key's first class: at most as many pairs as
-   rows. Those that pass the size and bitmap bounds are verified by intersecting their
-   sorted arrays, and joined to components.
+3. A few turns hold each class against hubs of its keys (the key's first class, then ones picked
+   by hash), a bounded number of pairs for each class. Those that pass the size and bitmap bounds are
+   verified by intersecting their sorted arrays, and joined to components: this is what
+   spares a large group of near copies its pairs. Keys that hold one component only then go.
 4. What is left to find are links between different components. Keys that hold two or more
    components meet in tiles: (key, size band, salt). Inside a tile the same bounds hold, and
    the pairs that pass are verified. A large key is dealt over as many salts as it needs.
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, chunks, cut, map_batches, release
@@ -53,6 +54,8 @@ SLICE, SLICE_SHINGLES = 4096, 4 << 20
 BUCKET_ENTRIES = 1 << 19
 #: Bitmap words of 64 bits.
 BITMAP = 8
+#: Hubs that a node is held against in each turn before the tiles.
+HUBS = (1, 8, 8)
 #: Rows of a key that one salt of a tile holds.
 TILE = 512
 
@@ -89,7 +92,7 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataF
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.int64)]), return_counts=True)
-            keep = n >= max(3, seen // share)
+            keep = n >= max(2, seen // (4 * share))
             m = int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array([True] * m, type=pa.bool_())], names=names)
 
@@ -298,9 +301,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table
     return out
 
 
+def _open(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Entries with their components, of keys that hold two components at least."""
+    labelled = entries.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    per = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return cut(labelled.join(per, "key"))
+
+
+def _hub_pairs(entries: DataFrame, nodes: DataFrame, percent: int, turn: int, most: int) -> DataFrame:
+    """Pairs (a, b) of a node and those hubs of its keys that it shares most keys with, ``most`` at most; the tiles see what is left.
+
+    A key's hub is its first node, or from the second turn on one picked by a hash of node and key.
+    """
+    order = F.col("node") if not turn else F.xxhash64("node", "key", F.lit(turn))
+    hubs = entries.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_part"))).alias("h")).select("key", "h.hub", "h.hub_part")
+    shared = entries.join(hubs, "key").where("component <> hub_part").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("keys"))
+    best = shared.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("keys"), "hub"))).where(F.col("place") <= most)
+    pairs = best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
+
+
 def _tiled(entries: DataFrame, nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     """Candidate pairs between components: same key, sizes that can link, bitmaps that can overlap enough."""
-    per = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows")
+    per = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     open_ = entries.join(per, "key").join(nodes.select("node", "n", "bits"), "node")
     # A linking pair's sizes differ by less than 100/percent, so its bands are equal or next to each other.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -341,16 +365,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").select("key", "node").distinct()
     entries = cut(entries)
     release(docs.sparkSession)
-    hubs = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    star = entries.join(hubs, "key").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
-    likely = star.join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
     ids = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi")
     same_id = member.join(ids.select("id", "b"), "id").where("node <> b").select(F.col("node").alias("a"), "b")
-    links = cut(_verified(likely, docs, nodes, k, table, percent, unique).union(same_id))
-    label = lambda df, parts: df.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    links = links.union(_verified(_tiled(label(entries, components(links)), nodes, percent, tile), docs, nodes, k, table, percent, unique))
-    named = label(member, components(links))
+    links, left = same_id, entries.withColumn("component", F.col("node"))
+    for turn, most in enumerate(HUBS):
+        links = cut(links.union(_verified(_hub_pairs(left, nodes, percent, turn, most), docs, nodes, k, table, percent, unique)))
+        parts = components(links)
+        left = _open(left, parts)
+        release(docs.sparkSession)
+    links = links.union(_verified(_tiled(left, nodes, percent, tile), docs, nodes, k, table, percent, unique))
+    named = member.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
     return sig.select("id", "n").join(answer, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
