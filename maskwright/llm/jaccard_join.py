@@ -55,7 +55,7 @@ BUCKET_ENTRIES = 1 << 19
 #: Bitmap words of 64 bits.
 BITMAP = 8
 #: Hubs that a node is held against in each turn before the tiles.
-HUBS = (1, 8, 8)
+HUBS = (1, 8)
 #: Rows of a key that one salt of a tile holds.
 TILE = 512
 
@@ -373,8 +373,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         parts = components(links)
         left = _open(left, parts)
         release(docs.sparkSession)
-    links = links.union(_verified(_tiled(left, nodes, percent, tile), docs, nodes, k, table, percent, unique))
-    named = member.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if left.isEmpty():
+            break
+    else:
+        parts = components(links.union(_verified(_tiled(left, nodes, percent, tile), docs, nodes, k, table, percent, unique)))
+    named = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     answer = named.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
     return sig.select("id", "n").join(answer, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
