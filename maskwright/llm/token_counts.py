@@ -35,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_batches, texts_of, tokenizer_path
+from .tokens import Memo, simple_parts
 
 #: Units that a worker remembers.
-MEMO = 500_000
+MEMO = 1_000_000
+#: Word prefixes whose state a worker remembers.
+STATES = 600_000
 #: Pairs of tokens whose encoding a worker remembers.
 PAIRS = 1_000_000
 #: Longest unit whose prefixes are counted one by one where the programme does not apply.
@@ -66,13 +69,24 @@ class PrefixCounter:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
-        self.longest = max(len(t.removesuffix(self.suffix)) for t in model["vocab"])
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.letters = _byte_letters()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
-        self.limit, self.memo, self.pairs, self.states = memo, {}, {}, {}
+        self.units, self.words, self.pairs, self.states, self.limit = Memo(memo), Memo(memo), {}, {}, STATES
+        #: Lengths of tokens that end a word so far (open) or for good (closed), by their last three symbols.
+        self.ends: tuple[dict, dict] = ({}, {})
         self.tokens = {t for t in model["vocab"] if t not in self.specials and self._self(t)}
+        self._index_ends()
+
+    def _index_ends(self) -> None:
+        for t in self.tokens:
+            bare = t.removesuffix(self.suffix)
+            if bare and len(bare) >= 3:
+                self.ends[bare != t].setdefault(bare[-3:], set()).add(len(bare))
+        for kind in self.ends:
+            for key, lengths in kind.items():
+                kind[key] = (*sorted(lengths, reverse=True), 2, 1)
 
     def _merge(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
@@ -107,21 +121,24 @@ class PrefixCounter:
         A state depends on the prefix alone, so words that begin alike share theirs.
         """
         known, tokens, fits, suffix = self.states, self.tokens, self._fits, self.suffix
+        open_ends, closed_ends = self.ends
         if len(known) >= self.limit:
             known.clear()
         states: list[tuple[str, int, int]] = [("", 0, 0)]
         for i in range(1, len(symbols) + 1):
             got = known.get(symbols[:i])
             if got is None:
-                low, last, opened, closed = max(0, i - self.longest), "", 0, 0
-                for j in range(low, i):
+                last, opened, closed, tail = "", 0, 0, symbols[max(0, i - 3) : i]
+                for n in open_ends.get(tail, _SHORT):
+                    j = i - n
                     t = symbols[j:i]
-                    if t in tokens and (not j or fits(states[j][0], t)):
+                    if j >= 0 and t in tokens and (not j or fits(states[j][0], t)):
                         last, opened = t, states[j][1] + 1
                         break
-                for j in range(low, i):
+                for n in closed_ends.get(tail, _SHORT):
+                    j = i - n
                     t = symbols[j:i] + suffix
-                    if t in tokens and (not j or fits(states[j][0], t)):
+                    if j >= 0 and t in tokens and (not j or fits(states[j][0], t)):
                         closed = states[j][1] + 1
                         break
                 got = (last, opened, closed)
@@ -161,31 +178,53 @@ class PrefixCounter:
             return [0] * (len(unit) - 1) + [len(self.library.encode(unit, add_special_tokens=False).ids)]
         return [len(e.ids) for e in self.library.encode_batch([unit[: i + 1] for i in range(len(unit))], add_special_tokens=False)]
 
-    def deltas(self, unit: str) -> bytes:
+    def _deltas(self, unit: str) -> bytes:
         """Changes of the count, one 16-bit number per character of the unit."""
-        got = self.memo.get(unit)
-        if got is None:
-            counts = self.pieces(unit)
-            if counts is None or not unit.isascii() and not _LATIN.fullmatch(unit) and counts[-1] != len(self.library.encode(unit, add_special_tokens=False).ids):
-                counts = self.brute(unit)
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            got = self.memo[unit] = array("h", map(sub, counts, [0, *counts])).tobytes() if len(counts) < 32_000 else _wide(counts)
-        return got
+        counts = self.pieces(unit)
+        if counts is None or not unit.isascii() and not _LATIN.fullmatch(unit) and counts[-1] != len(self.library.encode(unit, add_special_tokens=False).ids):
+            counts = self.brute(unit)
+        return array("h", map(sub, counts, [0, *counts])).tobytes() if len(counts) < 32_000 else _wide(counts)
+
+    def _plain(self, word: str) -> bytes:
+        """The same for a lower-case word of plain letters, one piece to the splitter."""
+        if word != word.lower():
+            return self._deltas(word)
+        if word.isascii():
+            counts = [x[2] for x in self.word(word)]
+        else:
+            coded = [c.encode() for c in word]
+            states = self.word("".join([self.letters[b] for b in b"".join(coded)]))
+            counts = [0, *(states[i][2] for i in accumulate(map(len, coded)))]
+        return array("h", map(sub, counts[1:], counts)).tobytes() if len(counts) < 32_000 else _wide(counts[1:])
+
+    def learn(self, units: set[str]) -> None:
+        new = self.units.learn(units)
+        parts = {u: simple_parts(u) or (u, "") for u in new}
+        deltas, words = self._deltas, self.words
+        for p in words.learn({p for x in parts.values() for p in x if p}):
+            words.now[p] = self._plain(p) if p.isalpha() and _LATIN.fullmatch(p) else deltas(p)
+        known, now = words.now, self.units.now
+        for u, (word, marks) in parts.items():
+            now[u] = known[word] + known[marks] if marks else known[word]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Changes of the count at every character of each text."""
+        # All white space is alike to the vocabulary, and each of its characters changes nothing.
+        split = [(t.translate(_TO_BLANK) if _OTHER.search(t) else t).split(" ") for t in texts]
+        self.learn(set().union(*split) - {""})
+        self.units.now[""] = b""
+        get = self.units.now.__getitem__
+        return [np.frombuffer(b"\0\0".join(map(get, units)), dtype="<i2") for units in split]
 
     def text(self, text: str) -> np.ndarray:
-        """Changes of the count at every character of a text."""
-        units = text.split(" ")
-        if not _OTHER.search(text):
-            return np.frombuffer(b"\0\0".join([self.deltas(u) if u else b"" for u in units]), dtype="<i2")
-        return np.frombuffer(b"".join([self.deltas(u) if k % 2 == 0 else b"\0\0" * len(u) for k, u in enumerate(_SPACE.split(text)) if u]), dtype="<i2")
+        return self.texts([text])[0]
 
 
 #: Characters whose normal form and lower case are one character each, whatever stands beside them.
 _LATIN = re.compile("[\x21-\x7e\xa1-\xa9\xab-\xac\xae-\xff\u0100-\u012f\u0131-\u017f]*")
-#: White space but the blank, split off from units like the blank.
+#: White space but the blank.
 _OTHER = re.compile("[\t\n\r\x0b\x0c]")
-_SPACE = re.compile("([ \t\n\r\x0b\x0c]+)")
+_TO_BLANK = dict.fromkeys(map(ord, "\t\n\r\x0b\x0c"), " ")
 
 
 def _wide(counts: list[int]) -> bytes:
@@ -223,6 +262,8 @@ def longest_within(blob: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts(blob) <= budget)[-1])
 
 
+#: Tried where no longer token ends so.
+_SHORT = (2, 1)
 _counters: dict[str, PrefixCounter] = {}
 
 
@@ -244,11 +285,11 @@ def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = counter(tokenizer).text
+        count = counter(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts], 8 << 20):
-                deltas = [text(t) for t in texts[lo:hi]]
+                deltas = count.texts(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[lo:hi],

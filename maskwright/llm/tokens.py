@@ -2,21 +2,24 @@
 
 A unit is a run of characters other than white space. The vocabulary's normaliser turns
 white space into blanks, its splitter drops it, and no rule looks across it, so a text's
-ids are its units' ids one after the other; the library itself encodes each distinct
-unit once per worker. The memo is bounded: a full one is emptied, never trusted less.
+ids are its units' ids one after the other; a plain unit's are those of its lower-case word and
+of the marks after it. The library itself encodes what a worker has not seen or has
+forgotten: what it remembers is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from operator import itemgetter
 
 import numpy as np
 
 from .common import tokenizer_path
 
 #: Units that a worker remembers.
-MEMO = 400_000
+MEMO = 1_000_000
 #: str.split takes these for white space, the vocabulary does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -31,6 +34,40 @@ def units_of(text: str) -> list[str]:
     return text.split()
 
 
+#: A word of plain Latin letters and a run of marks after it: the splitter parts them, and each letter has one lower-case form.
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:%$&*#|()\\[\\]\"/]*)")
+
+
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+
+
+class Memo:
+    """What a worker remembers, in two generations: what is not asked for while one fills up is forgotten."""
+
+    def __init__(self, limit: int):
+        self.half, self.now, self.old = limit // 2, {}, {}
+
+    def learn(self, keys: set[str]) -> list[str]:
+        """Make the keys' values ready in ``now``; the keys that have none yet are returned."""
+        if len(self.now) > self.half:
+            self.now, self.old = {}, self.now
+        now, old, new = self.now, self.old, []
+        for k in keys:
+            if k not in now:
+                v = old.get(k)
+                if v is None:
+                    new.append(k)
+                else:
+                    now[k] = v
+        return new
+
+
+def simple_parts(unit: str) -> tuple[str, str] | None:
+    """The lower-case word and the marks of a plain unit."""
+    m = _SIMPLE.fullmatch(unit)
+    return (m[1].lower(), m[2]) if m else None
+
+
 class Encoder:
     """Encodes texts with a ``tokenizers`` file; nothing is added, truncated or padded."""
 
@@ -41,28 +78,33 @@ class Encoder:
         self.library = Tokenizer.from_file(tokenizer_path(name))
         self.library.no_truncation()
         self.library.no_padding()
-        self.limit, self.memo = memo, {}
+        self.units, self.words = Memo(memo), Memo(memo)
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.memo]
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list(units)
+    def _encode_words(self, words: set[str]) -> None:
+        new, now = self.words.learn(words), self.words.now
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4")
-                self.memo[u] = (ids.tobytes(), 2 * len(ids) + bool(_END.search(u)))
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                now[w] = array("I", e.ids).tobytes()
+
+    def learn(self, units: set[str]) -> None:
+        new = self.units.learn(units)
+        parts = {u: simple_parts(u) or (u, "") for u in new}
+        self._encode_words({p for x in parts.values() for p in x if p})
+        words, now = self.words.now, self.units.now
+        for u, (word, marks) in parts.items():
+            ids = words[word] + words[marks] if marks else words[word]
+            now[u] = (ids, len(ids) // 2 + (bool(marks) and _END.search(marks) is not None if word != u else _END.search(u) is not None))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids (uint32) of each text, and the id counts before which a sentence has ended."""
         split = [units_of(t) for t in texts]
         self.learn(set().union(*split))
-        out = []
+        out, get = [], self.units.now.__getitem__
         for units in split:
-            got = [self.memo[u] for u in units]
-            ids = np.frombuffer(b"".join([x[0] for x in got]), dtype="<u4")
-            marks = np.array([x[1] for x in got], dtype=np.int64)
+            got = list(map(get, units))
+            ids = np.frombuffer(b"".join(map(_FIRST, got)), dtype="<u4")
+            marks = np.fromiter(map(_SECOND, got), dtype=np.int64, count=len(got))
             out.append((ids, np.cumsum(marks >> 1)[(marks & 1) == 1]))
         return out
 
