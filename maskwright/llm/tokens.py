@@ -9,10 +9,10 @@ forgotten: what it remembers is bounded.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from operator import itemgetter
 
 import numpy as np
 
@@ -38,9 +38,6 @@ def units_of(text: str) -> list[str]:
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:%$&*#|()\\[\\]\"/]*)")
 
 
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
-
-
 class Memo:
     """What a worker remembers, in two generations: what is not asked for while one fills up is forgotten."""
 
@@ -79,33 +76,58 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.units, self.words = Memo(memo), Memo(memo)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        #: Whether a token ends a word, and whether it ends a sentence.
+        self.last, self.stop = (np.zeros(self.library.get_vocab_size(), dtype=bool) for _ in range(2))
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith(suffix)
+            self.stop[i] = self.last[i] and bool(_END.search(token.removesuffix(suffix)))
 
     def _encode_words(self, words: set[str]) -> None:
+        """Plain words and marks, many in one text: each ends with its only word-ending token."""
         new, now = self.words.learn(words), self.words.now
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                now[w] = array("I", e.ids).tobytes()
+        for lo in range(0, len(new), 2000):
+            part = new[lo : lo + 2000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise RuntimeError("a plain word is not one piece to this vocabulary")
+            data = ids.tobytes()
+            now.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def learn(self, units: set[str]) -> None:
-        new = self.units.learn(units)
-        parts = {u: simple_parts(u) or (u, "") for u in new}
-        self._encode_words({p for x in parts.values() for p in x if p})
-        words, now = self.words.now, self.units.now
-        for u, (word, marks) in parts.items():
-            ids = words[word] + words[marks] if marks else words[word]
-            now[u] = (ids, len(ids) // 2 + (bool(marks) and _END.search(marks) is not None if word != u else _END.search(u) is not None))
+        new, now = self.units.learn(units), self.units.now
+        plain, odd = {}, []
+        for u in new:
+            parts = simple_parts(u)
+            if parts:
+                plain[u] = parts
+            else:
+                odd.append(u)
+        needed = {p for x in plain.values() for p in x}
+        needed.discard("")
+        self._encode_words(needed)
+        words = self.words.now
+        for u, (word, marks) in plain.items():
+            now[u] = words[word] + words[marks] if marks else words[word]
+        for lo in range(0, len(odd), 20_000):
+            part = odd[lo : lo + 20_000]
+            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                now[u] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids (uint32) of each text, and the id counts before which a sentence has ended."""
+        known = self.units.now.get
         split = [units_of(t) for t in texts]
-        self.learn(set().union(*split))
-        out, get = [], self.units.now.__getitem__
-        for units in split:
-            got = list(map(get, units))
-            ids = np.frombuffer(b"".join(map(_FIRST, got)), dtype="<u4")
-            marks = np.fromiter(map(_SECOND, got), dtype=np.int64, count=len(got))
-            out.append((ids, np.cumsum(marks >> 1)[(marks & 1) == 1]))
+        found = [list(map(known, units)) for units in split]
+        self.learn({u for units, got in zip(split, found, strict=True) if None in got for u, x in zip(units, got, strict=True) if x is None})
+        out, known = [], self.units.now.get
+        for units, got in zip(split, found, strict=True):
+            if None in got:
+                got = [x if x is not None else known(u) for u, x in zip(units, got, strict=True)]
+            ids = np.frombuffer(b"".join(got), dtype="<u4")
+            out.append((ids, np.flatnonzero(self.stop[ids]) + 1))
         return out
 
 
