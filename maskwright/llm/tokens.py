@@ -19,7 +19,7 @@ import numpy as np
 from .common import tokenizer_path
 
 #: Units that a worker remembers.
-MEMO = 1_000_000
+MEMO = 1_600_000
 #: str.split takes these for white space, the vocabulary does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -38,6 +38,10 @@ def units_of(text: str) -> list[str]:
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,!?;:%$&*#|()\\[\\]\"/]*)")
 
 
+#: Texts whose lower case is letter by letter.
+_LATIN = re.compile("[\0-\xff]*")
+
+
 class Memo:
     """What a worker remembers, in two generations: what is not asked for while one fills up is forgotten."""
 
@@ -119,13 +123,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids (uint32) of each text, and the id counts before which a sentence has ended."""
         known = self.units.now.get
-        split = [units_of(t) for t in texts]
+        # Lower case first, where that is what the vocabulary does, letter by letter: fewer distinct units.
+        split = [units_of(t.lower() if "<|" not in t and (t.isascii() or _LATIN.fullmatch(t)) else t) for t in texts]
         found = [list(map(known, units)) for units in split]
         self.learn({u for units, got in zip(split, found, strict=True) if None in got for u, x in zip(units, got, strict=True) if x is None})
         out, known = [], self.units.now.get
         for units, got in zip(split, found, strict=True):
-            if None in got:
-                got = [x if x is not None else known(u) for u, x in zip(units, got, strict=True)]
+            for at in [i for i, x in enumerate(got) if x is None] if None in got else ():
+                got[at] = known(units[at])
             ids = np.frombuffer(b"".join(got), dtype="<u4")
             out.append((ids, np.flatnonzero(self.stop[ids]) + 1))
         return out
