@@ -5,8 +5,8 @@ result names each document's component, so links inside a group that is already
 connected need not be enumerated; no link that could join two groups is skipped.
 
 1. One pass over the texts gives each document its set's size, a 128-bit class key (equal sets
-   are one class) and a parity bitmap, and finds *common* shingles (in about one document of
-   2000), a list whose length is bounded by the mean set size times 4000 whatever the corpus.
+   are one class) and a parity bitmap, and finds *common* shingles (those that recur within slices
+   of the corpus), a list of bounded length that holds the most frequent ones.
 2. A second pass takes each class's *prefix*: the first ``n - ceil(0.75 n) + 1`` shingles in the
    order (common, hash). Two sets that link share a shingle of both prefixes, whatever the
    order, so the order only decides how many rows meet. Prefixes travel as packed arrays of
@@ -46,8 +46,8 @@ from .shingles import WHITE, mix, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 75
-#: A shingle is common if one of so many documents has it.
-COMMON = 2000
+#: A shingle is common if it was counted so often in slices that have it twice, and how many common ones there are at most (the most frequent).
+COMMON, COMMON_MOST = 4, 2_000_000
 #: Documents whose shingles are counted together in the search for common ones.
 SLICE, SLICE_SHINGLES = 4096, 4 << 20
 #: Prefix entries of a bucket on average.
@@ -82,7 +82,7 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataFrame:
+def _first_pass(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
     """``id, n, class, bits`` of every document; besides, with null bits and class, hashes (as id) that are common in a slice, and their documents (as n)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray, share: int) -> DataF
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.int64)]), return_counts=True)
-            keep = n >= max(2, seen // (4 * share))
+            keep = n >= 2
             m = int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array([True] * m, type=pa.bool_())], names=names)
 
@@ -164,7 +164,7 @@ def _unpacked(keys: bytes, first: int, steps: bytes) -> tuple[np.ndarray, np.nda
 
 
 def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
-    """``key, id``: prefix hashes that two ids have, one id per class and task at least."""
+    """``key, id, core``: prefix hashes that two ids have, one id per class and task at least; core: in the id's shorter prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,10 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
                     if not len(s) or i is None or key in seen:
                         continue
                     seen.add(key)
-                    keys.append(prefix(s, order, percent))
+                    own = prefix(s, order, percent)
+                    # The lowest bit tells the part of the prefix that partners of the same size or larger must share.
+                    core = np.arange(len(own)) < len(s) + 1 - -(-2 * percent * len(s) // (100 + percent))
+                    keys.append((own & ~1) | core)
                     ids.append(np.full(len(keys[-1]), i, dtype=np.int64))
                     size += len(keys[-1])
             if size >= 1 << 20:
@@ -196,20 +199,21 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
         total = sum(len(x[0]) for x in parts)
         ranges = max(1, -(-total // (1 << 21)))
         for r in range(ranges):
-            pick = [(x[0].view(np.uint64) & np.uint64(0xFFFF)) % np.uint64(ranges) == np.uint64(r) for x in parts] if ranges > 1 else [slice(None)] * len(parts)
+            pick = [(x[0].view(np.uint64) >> np.uint64(1) & np.uint64(0xFFFF)) % np.uint64(ranges) == np.uint64(r) for x in parts] if ranges > 1 else [slice(None)] * len(parts)
             key, i = (np.concatenate([x[c][p] for x, p in zip(parts, pick, strict=True)]) for c in (0, 1))
+            core, key = (key & 1).astype(bool), key & ~1
             order = np.lexsort((i, key))
-            key, i = key[order], i[order]
+            key, i, core = key[order], i[order], core[order]
             fresh = np.ones(len(key), dtype=bool)
             fresh[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1])
-            key, i = key[fresh], i[fresh]
+            key, i, core = key[fresh], i[fresh], core[fresh]
             twin = np.zeros(len(key), dtype=bool)
             same = key[1:] == key[:-1]
             twin[1:] |= same
             twin[:-1] |= same
-            key, i = key[twin], i[twin]
+            key, i, core = key[twin], i[twin], core[twin]
             for lo in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(i[lo : lo + (1 << 16)])], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(i[lo : lo + (1 << 16)]), pa.array(core[lo : lo + (1 << 16)])], names=["key", "id", "core"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -224,7 +228,7 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
             yield from repeated(parts)
 
     packed = map_batches(docs, pack, "bucket long, keys binary, first long, steps binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "key long, id long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "key long, id long, core boolean")
 
 
 def _wanted_bits(ids: DataFrame, n: int) -> np.ndarray:
@@ -303,7 +307,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table
 
 def _open(entries: DataFrame, parts: DataFrame) -> DataFrame:
     """Entries with their components, of keys that hold two components at least."""
-    labelled = entries.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    labelled = entries.select("key", "node", "core").join(parts, "node", "left").select("key", "node", "core", F.coalesce("component", "node").alias("component"))
     per = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return cut(labelled.join(per, "key"))
 
@@ -329,17 +333,19 @@ def _tiled(entries: DataFrame, nodes: DataFrame, percent: int, tile: int) -> Dat
     # A linking pair's sizes differ by less than 100/percent, so its bands are equal or next to each other.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     open_ = open_.withColumn("band", band).withColumn("salts", F.ceil(F.col("rows") / tile).cast("int"))
-    left = open_.select("key", "band", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "bits", "band")))
+    left = open_.select("key", "band", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "bits", "band", "core")))
     spread = F.explode(F.expr("flatten(transform(array(band, band - 1), b -> transform(sequence(0, salts - 1), s -> struct(b AS band, s AS salt))))")).alias("t")
-    right = open_.select("key", spread, *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "bits", "band"))).select("key", F.col("t.band").alias("band"), F.col("t.salt").alias("salt"), "node_b", "component_b", "n_b", "bits_b", "band_b")
+    right = open_.select("key", spread, *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "bits", "band", "core"))).select("key", F.col("t.band").alias("band"), F.col("t.salt").alias("salt"), "node_b", "component_b", "n_b", "bits_b", "band_b", "core_b")
     # Each pair once: the larger band on the right, or the larger node within a band.
     once = (F.col("band_a") < F.col("band_b")) | (F.col("node_a") < F.col("node_b"))
-    could = once & (F.col("component_a") != F.col("component_b")) & could_link("_a", "_b", percent)
+    # Sets of one size or a smaller one share a key of the smaller set's core.
+    core = (F.col("core_a") | (F.col("n_a") > F.col("n_b"))) & (F.col("core_b") | (F.col("n_b") > F.col("n_a")))
+    could = once & core & (F.col("component_a") != F.col("component_b")) & could_link("_a", "_b", percent)
     joined = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & (left["salt"] == right["salt"]) & could)
     return joined.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, table: np.ndarray = WHITE, tile: int = TILE, share: int = COMMON) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, table: np.ndarray = WHITE, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     component_id is the smallest id reachable by links, the row's own included. Null, empty
@@ -350,19 +356,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever their names; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = cut(_first_pass(docs, k, table, share))
+    first = cut(_first_pass(docs, k, table))
     sig = first.where("NOT common").select("id", "n", "class", "bits", "wide")
     total = sig.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("id").alias("ids"), F.countDistinct("id").alias("distinct")).first()
     unique = total.ids == total.distinct
-    often = first.where("common").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, total.docs // (2 * share))).select("id").toArrow()
-    common = np.sort(often.column(0).to_numpy())  # bounded: each is in one of 2 * share documents
+    often = first.where("common").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    found = often.count()
+    if found > COMMON_MOST:
+        least = often.agg(F.percentile_approx("n", 1 - COMMON_MOST / found)).first()[0]
+        often = often.where(F.col("n") > least)
+    common = np.sort(often.select("id").toArrow().column(0).to_numpy())  # COMMON_MOST at most
     real = sig.where("id IS NOT NULL AND n > 0")
     # Numbers for classes: any will do once they are written, as documents get their smallest id back at the end.
     nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).withColumn("node", F.monotonically_increasing_id()))
     member = cut(real.select("id", "class").distinct().join(nodes.select("class", "node"), "class").select("id", "node"))
 
     buckets = min(1 << 16, max(1, -(-total.shingles // (4 * BUCKET_ENTRIES))))
-    entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").select("key", "node").distinct()
+    entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").groupBy("key", "node").agg(F.max("core").alias("core"))
     entries = cut(entries)
     release(docs.sparkSession)
     ids = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi")
