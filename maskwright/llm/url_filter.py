@@ -25,6 +25,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 FIT_ROWS = 20_000
 #: Trees, their depth, learning rate, histogram bins, least rows of a leaf.
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 10
+#: Features of a URL.
+WIDTH = 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -147,7 +149,7 @@ class UrlModel:
         self.trees = Trees().fit(self.matrix(urls), np.array(y, dtype=np.float64))
 
     def matrix(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
-        return np.array([features(*u, self.stats) for u in urls], dtype=np.float64).reshape(len(urls), -1)
+        return np.array([features(*u, self.stats) for u in urls], dtype=np.float64).reshape(len(urls), WIDTH)
 
     def block_scores(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
         return self.trees.predict(self.matrix(urls))
