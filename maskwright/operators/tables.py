@@ -46,12 +46,12 @@ def detect_tables(cells: DataFrame, merges: DataFrame | None = None, min_rows: i
 def stratified_sample(rows: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
     """A deterministic sample of ``size`` rows of each group: half from its head, half evenly spaced to its last row."""
     w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = rows.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
     head = size // 2
-    rest, span = size - head, F.col("n") - head - 1
-    near = F.round((F.col("i") - head) * (rest - 1) / F.greatest(span, F.lit(1)))
-    spaced = (F.col("i") >= head) & (F.round(near * span / max(rest - 1, 1)) + head == F.col("i"))
-    return ranked.where((F.col("n") <= size) | (F.col("i") < head) | spaced).drop("i", "n")
+    rest, span = size - head, F.col("__n") - head - 1
+    near = F.round((F.col("__i") - head) * (rest - 1) / F.greatest(span, F.lit(1)))
+    spaced = (F.col("__i") >= head) & (F.round(near * span / max(rest - 1, 1)) + head == F.col("__i"))
+    return ranked.where((F.col("__n") <= size) | (F.col("__i") < head) | spaced).drop("__i", "__n")
 
 
 def classify_columns(values: DataFrame, labels: tuple[str, ...] = ("EMAIL", "CREDITCARDNUMBER", "TELEPHONENUM", "IP_ADDRESS", "IBAN", "DATE"), coverage: int = 60, least: int = 5, model_share: float = 0.2) -> DataFrame:

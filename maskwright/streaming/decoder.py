@@ -17,9 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _MARK = re.compile(r"\[[A-Z0-9_]+_[0-9]+\]")
 #: What stays canonical: fences, inline code, tags, link targets.
-_PROTECTED = re.compile(r"```.*?```|`[^`\n]*`|<[^<>\n]*>|\]\([^()\s]*\)", re.S)
+_PROTECTED = re.compile(r"```.*?```|`[^`\n]+`|<[^<>\n]*>|\]\([^()\s]*\)", re.S)
 #: An unfinished opening that may still change what stands before the end.
-_OPEN = re.compile(r"\[[^\]\n]{0,80}$|\][(]?[^()\s]{0,400}$|<[^<>\n]{0,400}$|`[^`]*$")
+_OPEN = re.compile(r"\[[A-Z0-9_]{0,80}$|(?:\[[A-Z0-9_]{0,80})?\](?:\([^()\s]{0,400})?$|<[^<>\n]{0,400}$|`[^`\n]*$")
 
 
 def decode_text(text: str, mapping: dict[str, str]) -> str:
@@ -51,16 +51,11 @@ class StreamDecoder:
     def _stable(text: str) -> int:
         """Length of the prefix that later text cannot change."""
         at = 0
-        while True:
-            fence = text.find("```", at)
-            if fence < 0:
-                break
-            close = text.find("```", fence + 3)
-            if close < 0:
-                return fence
-            at = close + 3
+        for m in _PROTECTED.finditer(text):
+            at = m.end()
+        fence = text.find("```", at)
         m = _OPEN.search(text, at)
-        stop = m.start() if m else len(text)
+        stop = min(fence if fence >= 0 else len(text), m.start() if m else len(text))
         # Back-ticks at the very end may be the first of a fence.
         while stop > at and text[stop - 1] == "`":
             stop -= 1
