@@ -238,13 +238,27 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 3, b
     """A network fitted on labelled texts; one fifth of them calibrates it. With one label only, that label's rate is the score."""
     rng = np.random.default_rng(seed)
     y_all = np.array(labels, dtype=np.float64)
-    docs = [[w for w in map(clean_word, t.split()) if w] for t in texts]
+    # One string object for each distinct word: lists of millions of words are mostly repeats.
+    cleaned: dict[str, str] = {}
+    same: dict[str, str] = {}
+
+    def words_of(text: str) -> list[str]:
+        units = text.split()
+        for u in units:
+            if u not in cleaned:
+                w = clean_word(u)
+                cleaned[u] = same.setdefault(w, w)
+        return [w for w in map(cleaned.__getitem__, units) if w]
+
+    docs = [words_of(t) for t in texts]
+    cleaned.clear()
+    same.clear()
     held = np.arange(len(docs)) % 5 == 4
     fit = np.flatnonzero(~held)
     words, odds = _log_odds([docs[i] for i in fit], y_all[fit])
     net = Network(words, odds, seed)
-    if not len(docs) or y_all.min() == y_all.max():
-        rate = float(y_all.mean()) if len(docs) else 0.0
+    if not len(texts) or y_all.min() == y_all.max():
+        rate = float(y_all.mean()) if len(texts) else 0.0
         net.scale, net.shift = 0.0, float(np.log((rate + 0.01) / (1.01 - rate)))
         return net
     weight_of = dict(zip(words, odds.tolist(), strict=True))
@@ -252,13 +266,14 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 3, b
     number = {w: k for k, w in enumerate(distinct)}
     rows, grams = net.inputs(distinct)
     wide = min(12, max((len(g) for g in grams), default=1))
-    gram = np.zeros((len(distinct) + 1, wide), np.int64)
+    gram = np.zeros((len(distinct) + 1, wide), np.int32)
     gmask = np.zeros((len(distinct) + 1, wide), np.float32)
     gmask[-1, 0] = 1
     for k, g in enumerate(grams):
         gram[k, : len(g[:wide])], gmask[k, : len(g[:wide])] = g[:wide], 1
     rows = np.append(rows, 0)
-    ids = {i: np.array([number[w] for w in docs[i]], dtype=np.int64) for i in fit}
+    ids = {i: np.array([number[w] for w in docs[i]], dtype=np.int32) for i in fit}
+    docs.clear()
     value = np.array([weight_of.get(w, 0.0) for w in distinct])
     m1, m2, moment = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     for epoch in range(epochs):
@@ -316,6 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = docs.sparkSession.createDataFrame([(r.id, r.y) for r in picked], "id long, y int")  # at most 4 * fit_rows rows
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").toArrow()
     got = sorted({(zlib.crc32(str(i).encode()), i): (t or "", y) for i, t, y in zip(*(rows.column(c).to_pylist() for c in ("id", "text", "y")), strict=True)}.items())
+    del rows
     net = train([t for _, (t, _) in got], [y for _, (_, y) in got])
     if len(n) == 2 and net.scale:
         share = lambda c: np.log(c[1] / c[0])
