@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Text extensions that are taken as raw source (fixed values).
 TEXT_EXTENSIONS = ("txt", "md", "csv", "tsv", "json", "xml")
@@ -18,6 +20,21 @@ TEXT_EXTENSIONS = ("txt", "md", "csv", "tsv", "json", "xml")
 PART_LIMIT = 256 << 20
 
 
+@F.pandas_udf(StringType())
+def _cp1252(content: pd.Series) -> pd.Series:
+    """Western single-byte text; bytes that code page leaves open are taken as Latin-1."""
+
+    def one(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return bytes(b).decode("cp1252")
+        except UnicodeDecodeError:
+            return bytes(b).decode("latin-1")
+
+    return content.map(one)
+
+
 def decode_bytes(content: Column) -> Column:
     """``struct<text, encoding, bom>``: null text for binary content (a NUL in the first 4 KiB), else by byte order mark, UTF-8 or windows-1252."""
     hexed = F.hex(F.substring(content, 1, 3))
@@ -25,7 +42,7 @@ def decode_bytes(content: Column) -> Column:
     nul = F.hex(F.substring(content, 1, 4096)).rlike("^(?:..)*00")
     body = F.when(bom, F.substring(content, F.lit(4), F.length(content))).otherwise(content)
     utf8 = F.is_valid_utf8(body.cast("binary").cast("string"))
-    text = F.when(utf8, F.decode(body, "UTF-8")).otherwise(F.decode(body, "windows-1252"))
+    text = F.coalesce(F.when(utf8, F.decode(body, "UTF-8")), _cp1252(F.when(~utf8 & ~nul, body)))
     return F.struct(F.when(~nul, text).alias("text"), F.when(nul, "binary").when(utf8, "utf-8").otherwise("cp1252").alias("encoding"), bom.alias("bom"))
 
 
