@@ -91,10 +91,12 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
         seen = size = 0
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.int64)]), return_counts=True)
-            keep = n >= 2
-            m = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep]), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array([True] * m, type=pa.bool_())], names=names)
+            every = np.concatenate([*held.values(), np.zeros(0, dtype=np.int64)])
+            held.clear()
+            every.sort()
+            found, n = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+            m = len(found)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n + 1), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array([True] * m, type=pa.bool_())], names=names)
 
         for batch in batches:
             texts = bytes_of(batch.column(1))
@@ -186,7 +188,7 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
                     keys.append((own & ~1) | core)
                     ids.append(np.full(len(keys[-1]), i, dtype=np.int64))
                     size += len(keys[-1])
-            if size >= 1 << 20:
+            if size >= 1 << 19:
                 yield _packed(np.concatenate(keys), np.concatenate(ids), buckets)
                 keys, ids, size = [], [], 0
                 if len(seen) > 1 << 17:
@@ -197,7 +199,7 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
     def repeated(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         """A bucket's entries whose key two ids have; taken in ranges so that a large bucket needs little more than itself."""
         total = sum(len(x[0]) for x in parts)
-        ranges = max(1, -(-total // (1 << 21)))
+        ranges = max(1, -(-total // (1 << 20)))
         for r in range(ranges):
             pick = [(x[0].view(np.uint64) >> np.uint64(1) & np.uint64(0xFFFF)) % np.uint64(ranges) == np.uint64(r) for x in parts] if ranges > 1 else [slice(None)] * len(parts)
             key, i = (np.concatenate([x[c][p] for x, p in zip(parts, pick, strict=True)]) for c in (0, 1))
