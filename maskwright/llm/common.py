@@ -11,6 +11,7 @@ Every operator takes a DataFrame and returns one; the helpers here keep three pr
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -61,10 +62,41 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches."""
+#: What this worker remembers between tasks, by operator: a key and what was made for it.
+_remembered: dict[str, tuple[object, object]] = {}
+
+
+def remember(owner: str, key: object, make: Callable[[], object]):
+    """What ``make`` gives, kept in this worker for ``owner`` until another key or another operator comes."""
+    if owner not in _remembered or _remembered[owner][0] != key:
+        _remembered.pop(owner, None)
+        _remembered[owner] = (key, make())
+    return _remembered[owner][1]
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what other operators remember in this worker and give the memory back to the system."""
+    others = [owner for owner in _remembered if owner != but]
+    if not others:
+        return
+    for owner in others:
+        del _remembered[owner]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` with bounded batches; a worker forgets what operators other than ``owner`` made it remember."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
+        yield from kernel(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

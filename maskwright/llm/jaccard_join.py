@@ -230,7 +230,7 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
             yield from repeated(parts)
 
     packed = map_batches(docs, pack, "bucket long, keys binary, first long, steps binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "key long, id long, core boolean")
+    return map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), unpack, "key long, id long, core boolean")
 
 
 def _wanted_bits(ids: DataFrame, n: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, map_batches, texts_of
-from .tokens import encoder
+from .tokens import OWNER, encoder
 
 #: Tokens of a window.
 WINDOW = 4096
@@ -169,4 +169,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     from pyspark.sql import functions as F
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, schema, OWNER)

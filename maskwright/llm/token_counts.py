@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, texts_of, tokenizer_path
+from .common import chunks, map_batches, remember, texts_of, tokenizer_path
 from .tokens import Memo, simple_parts
 
 #: Units that a worker remembers.
@@ -264,13 +264,13 @@ def longest_within(blob: bytes, budget: int) -> int:
 
 #: Tried where no longer token ends so.
 _SHORT = (2, 1)
-_counters: dict[str, PrefixCounter] = {}
+#: Owner of what workers remember.
+OWNER = "token_counts"
 
 
 def counter(name: str) -> PrefixCounter:
-    if name not in _counters:
-        _counters[name] = PrefixCounter(name)
-    return _counters[name]
+    """This worker's counter for a file."""
+    return remember(OWNER, name, lambda: PrefixCounter(name))
 
 
 def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -301,4 +301,4 @@ def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "n_bytes", "n_chars", "n_tokens", "prefix_deltas"],
                 )
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, "doc_id long, n_bytes long, n_chars long, n_tokens long, prefix_deltas binary")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, "doc_id long, n_bytes long, n_chars long, n_tokens long, prefix_deltas binary", OWNER)

@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 
-from .common import tokenizer_path
+from .common import remember, tokenizer_path
 
 #: Units that a worker remembers.
 MEMO = 1_600_000
@@ -136,11 +136,10 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+#: Owner of what workers remember.
+OWNER = "tokens"
 
 
 def encoder(name: str) -> Encoder:
     """This worker's encoder for a file."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    return remember(OWNER, name, lambda: Encoder(name))

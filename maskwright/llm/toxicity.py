@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, texts_of
+from .common import chunks, map_batches, remember, texts_of
 
 #: Words of a window and from one window to the next.
 WINDOW, STEP = 40, 30
@@ -339,15 +339,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return net
 
 
-_scorers: dict[int, Scorer] = {}
+#: Owner of what workers remember.
+OWNER = "toxicity"
 
 
 def _scorer(shared) -> Scorer:
-    key = shared.id if hasattr(shared, "id") else id(shared.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
+    return remember(OWNER, id(shared.value), lambda: Scorer(shared.value))
 
 
 def toxicity_scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -366,7 +363,7 @@ def toxicity_scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
                 s = scorer.scores(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(s, type=pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, "doc_id long, score double, predicted int")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), kernel, "doc_id long, score double, predicted int", OWNER)
 
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -380,4 +377,4 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold:
             s = np.concatenate([np.zeros(0), *(scorer.scores(texts[lo:hi]) for lo, hi in chunks([len(t) for t in texts]))])
             yield batch.filter(pa.array(s < threshold))
 
-    return map_batches(docs, kernel, docs.schema)
+    return map_batches(docs, kernel, docs.schema, OWNER)
