@@ -16,6 +16,9 @@ from maskwright.llm import decontaminate, jaccard_join, packing, toxicity
 from maskwright.llm.common import checkpoint_dir, table
 from maskwright.llm.queries import TOKENIZER
 
+#: Words that a worker remembers while it packs: few, as its executor still holds the heap of the join.
+MEMO = 100_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network predicts toxic go; see ``toxicity.drop_toxic``."""
@@ -34,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of at most 4096 tokens; see ``packing.pack``."""
-    return packing.pack(docs, tokenizer=TOKENIZER, with_ids=False)
+    return packing.pack(docs, tokenizer=TOKENIZER, with_ids=False, memo=MEMO)
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]

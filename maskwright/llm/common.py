@@ -75,13 +75,18 @@ def remember(owner: str, key: object, make: Callable[[], object]):
 
 
 def forget(but: str | None = None) -> None:
-    """Drop what other operators remember in this worker and give the memory back to the system."""
+    """Drop what other operators remember in this worker and give the memory back."""
     others = [owner for owner in _remembered if owner != but]
     if not others:
         return
     for owner in others:
         del _remembered[owner]
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free inside this process to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
     if trim is not None:
@@ -89,12 +94,14 @@ def forget(but: str | None = None) -> None:
 
 
 def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str, owner: str | None = None) -> DataFrame:
-    """``mapInArrow`` with bounded batches; a worker forgets what operators other than ``owner`` made it remember."""
+    """``mapInArrow`` with bounded batches; a worker forgets what operators other than ``owner`` made it remember, and with no owner frees all it used."""
     small_batches(df.sparkSession)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(owner)
         yield from kernel(batches)
+        if owner is None:
+            give_back()
 
     return df.mapInArrow(alone, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, map_batches, texts_of
-from .tokens import OWNER, encoder
+from .tokens import MEMO, OWNER, encoder
 
 #: Tokens of a window.
 WINDOW = 4096
@@ -125,7 +125,7 @@ class Stream:
         self.held, self.n = rest, int(self.n - stop)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, stride: int = STRIDE, penalty: tuple = PENALTY, block: int = BLOCK, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, window: int = WINDOW, stride: int = STRIDE, penalty: tuple = PENALTY, block: int = BLOCK, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``window`` tokens.
 
     Columns: doc_id, start (ids of the document before the piece), length, ids_crc32 (of the
@@ -137,7 +137,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     Null and empty texts are documents of the end id alone. Null ids stay null; repeated rows
     are separate documents that share an id. Other columns are ignored whatever their names. An empty
     table gives no rows. A text longer than a block is solved in parts. Sequence ids are
-    unique, rising within a partition, not gapless over the table.
+    unique, rising within a partition, not gapless over the table. ``memo``: units and words that a
+    worker remembers at most; it changes time and memory, not results.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, memo).encode
         stream = Stream(TaskContext.get().partitionId() << 33, window, block, stride, penalty, with_ids)
         end = np.array([end_id], dtype="<u4")
 

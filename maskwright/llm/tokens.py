@@ -140,6 +140,6 @@ class Encoder:
 OWNER = "tokens"
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, memo: int = MEMO) -> Encoder:
     """This worker's encoder for a file."""
-    return remember(OWNER, name, lambda: Encoder(name))
+    return remember(OWNER, (name, memo), lambda: Encoder(name, memo))
