@@ -100,14 +100,14 @@ SELECT found.doc_id, found.g[1] || coalesce(tail, '') AS anonymized_text, CAST(c
 FROM found LEFT JOIN texts ON texts.doc_id = found.doc_id LEFT JOIN uniq ON uniq.doc_id = found.doc_id"""
 )
 def anonymise_documents(spark, sf_dir):
-    """Detect, resolve, allocate placeholders and rewrite every document."""
+    """G1, G2, R1 for the four labels that SQL can express; :func:`anonymise_all_rules` takes every rule."""
     found = detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), labels=_MASKED)
     return resolve.anonymise(found).select("doc_id", "anonymized_text", "n_entities", "n_unique")
 
 
 @query("SELECT doc_id, coalesce(text, '') AS restored, true AS same FROM documents")
 def decode_round_trip(spark, sf_dir):
-    """R2: what was anonymised decodes to the original."""
+    """R2: what was anonymised (four labels) decodes to the original."""
     out = resolve.anonymise(detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), labels=_MASKED))
     restored = resolve.decode(F.col("anonymized_text"), F.col("mapping"))
     return out.select("doc_id", restored.alias("restored"), (restored == F.coalesce("text", F.lit(""))).alias("same"))
@@ -115,12 +115,36 @@ def decode_round_trip(spark, sf_dir):
 
 @query(f"WITH {_PLACED_SQL} SELECT label, count(*) AS n, count(DISTINCT v) AS n_unique FROM valid GROUP BY label")
 def count_by_label(spark, sf_dir):
-    """G3, G4."""
+    """G3, G4 for the four labels."""
     out = resolve.anonymise(detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), labels=_MASKED))
     rows = out.select(F.explode("entities").alias("e")).select("e.label", "e.value")
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_unique"))
 
 
+def _anonymised(spark, sf_dir):
+    """Every document, detected by every rule, resolved and rewritten."""
+    return resolve.anonymise(detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query()
+def anonymise_all_rules(spark, sf_dir):
+    """Detect by every rule, resolve, allocate placeholders and rewrite every document."""
+    return _anonymised(spark, sf_dir).select("doc_id", "anonymized_text", "n_entities", "n_unique")
+
+
+@query()
+def decode_round_trip_all_rules(spark, sf_dir):
+    """R2: what was anonymised by every rule decodes to the original."""
+    restored = resolve.decode(F.col("anonymized_text"), F.col("mapping"))
+    return _anonymised(spark, sf_dir).select("doc_id", restored.alias("restored"), (restored == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+@query()
+def count_by_label_all_rules(spark, sf_dir):
+    """G3, G4 over every rule."""
+    return resolve.by_label(_anonymised(spark, sf_dir).select(F.explode("entities").alias("e")).select("e.label", "e.value"))
+
+
 @query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00A0}\\x{202F}\\x{2007}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 20) / 100.0), 1) AS BIGINT))) AS chunk_no FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(chunk_no * 100 AS INTEGER) AS first_word, CAST(len(w[chunk_no * 100 + 1:chunk_no * 100 + 120]) AS INTEGER) AS n_words, array_to_string(w[chunk_no * 100 + 1:chunk_no * 100 + 120], ' ') AS chunk FROM c")
 def chunk_documents(spark, sf_dir):
     """Chunks of 120 words, 20 shared."""
@@ -315,8 +339,9 @@ def linearised_sheet(spark, sf_dir):
 def column_classes(spark, sf_dir):
     """What the columns of a derived contact sheet hold."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = detect.detect(docs, labels=_MASKED).select(F.explode("entities").alias("e")).select("e.label", "e.value").distinct()
-    values = found.select(F.lit(1).alias("doc_id"), F.lit("contacts").alias("sheet"), F.array_position(F.array(*map(F.lit, _MASKED)), F.col("label")).alias("col"), "value")
+    labels = (*_MASKED, *sorted({r.label for r in detect.RULES} - {*_MASKED}))
+    found = detect.detect(docs).select(F.explode("entities").alias("e")).select("e.label", "e.value").distinct()
+    values = found.select(F.lit(1).alias("doc_id"), F.lit("contacts").alias("sheet"), F.array_position(F.array(*map(F.lit, labels)), F.col("label")).alias("col"), "value")
     return tables.classify_columns(values)
 
 
