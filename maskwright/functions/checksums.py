@@ -85,3 +85,70 @@ def steuer_id(c: Column) -> Column:
 
     check = F.aggregate(F.slice(_chars(d), 1, 10), F.lit(10), step)
     return (F.length(d) == 11) & ((11 - check) % 10 == F.substring(d, 11, 1).cast("int"))
+
+
+def iso7064(d: Column) -> Column:
+    """ISO 7064 mod 11,10: the last digit is right for those before it."""
+
+    def step(a: Column, x: Column) -> Column:
+        s = (x.cast("int") + a) % 10
+        return (F.when(s == 0, 10).otherwise(s) * 2) % 11
+
+    check = F.aggregate(F.slice(_chars(d), 1, F.length(d) - 1), F.lit(10), step)
+    return (11 - check) % 10 == F.substring(d, -1, 1).cast("int")
+
+
+def doubled(d: Column, first: int) -> Column:
+    """Sum of digits with every second one doubled and cast out by nine, from place ``first`` (0 or 1) on."""
+    return F.aggregate(F.transform(_chars(d), lambda x, i: F.when(i % 2 == first, x.cast("int") * 2 - F.when(x.cast("int") > 4, 9).otherwise(0)).otherwise(x.cast("int"))), F.lit(0), lambda a, x: a + x)
+
+
+def last_digit(d: Column) -> Column:
+    return F.substring(d, -1, 1).cast("int")
+
+
+def spanish_company(c: Column) -> Column:
+    """Control character of a Spanish CIF: a digit or a letter, as the first letter demands."""
+    v = F.upper(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    k = (10 - doubled(F.substring(v, 2, 7), 0) % 10) % 10
+    letter, digit, head, tail = F.substring(F.lit("JABCDEFGHI"), k + 1, F.lit(1)), k.cast("string"), F.substring(v, 1, 1), F.substring(v, 9, 1)
+    return v.rlike("^[A-Z][0-9]{7}[0-9A-Z]$") & F.when(head.rlike("[KPQRSNW]"), tail == letter).when(head.rlike("[ABEH]"), tail == digit).otherwise((tail == letter) | (tail == digit))
+
+
+def spanish_social(c: Column) -> Column:
+    """Control digits of a Spanish social security number."""
+    d = digits(c)
+    area, number = F.substring(d, 1, 2).cast("long"), F.substring(d, 3, 8).cast("long")
+    return (F.length(d) == 12) & area.between(1, 56) & ((F.when(number < 10_000_000, area * 10_000_000).otherwise(area * 100_000_000) + number) % 97 == F.substring(d, 11, 2).cast("long"))
+
+
+def uk_tax_reference(c: Column) -> Column:
+    """First digit of a UK unique taxpayer reference."""
+    d = digits(c)
+    return F.substring(F.lit("21987654321"), weighted(F.substring(d, 2, 9), [6, 7, 8, 9, 10, 5, 4, 3, 2]) % 11 + 1, F.lit(1)) == F.substring(d, 1, 1)
+
+
+def austrian_social(c: Column) -> Column:
+    """Fourth digit of an Austrian social security number."""
+    d = digits(c)
+    return ~d.startswith("0") & (weighted(d, [3, 7, 9, 0, 5, 8, 4, 2, 1, 6]) % 11 == F.substring(d, 4, 1).cast("int"))
+
+
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def base58_check(c: Column) -> Column:
+    """25 bytes in base 58 whose last four are the start of the double SHA-256 of the others; a number of nine 24-bit limbs, lowest first."""
+
+    def add(limbs: Column, x: Column) -> Column:
+        begin = F.struct((F.instr(F.lit(BASE58), x) - 1).cast("long").alias("carry"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        step = lambda acc, n: F.struct(F.floor((n * 58 + acc["carry"]) / (1 << 24)).cast("long").alias("carry"), F.array_append(acc["out"], (n * 58 + acc["carry"]) % (1 << 24)).alias("out"))
+        return F.aggregate(limbs, begin, step, lambda acc: acc["out"])
+
+    limbs = F.aggregate(_chars(c), F.array_repeat(F.lit(0).cast("long"), 9), add)
+    number = F.array_join(F.transform(F.reverse(limbs), lambda n: F.lpad(F.lower(F.hex(n)), 6, "0")), "")
+    ones = F.length(F.regexp_extract(c, "^(1*)", 1))
+    size = F.ceil(F.length(F.regexp_replace(number, "^0+", "")) / 2)
+    raw = F.substring(number, 5, 50)
+    digest = F.sha2(F.unhex(F.sha2(F.unhex(F.substring(raw, 1, 42)), 256)), 256)
+    return (ones + size == 25) & (F.substring(digest, 1, 8) == F.substring(raw, 43, 8))

@@ -54,7 +54,7 @@ def contains_escaped(c: Column, needle: Column) -> Column:
     return F.contains(F.lower(c), F.lower(needle))
 
 
-def spans(text: Column, pattern: str, matches: Column | None = None) -> Column:
+def spans(text: Column, pattern: str | Column, matches: Column | None = None) -> Column:
     """``array<struct<start,end,value>>`` of all matches, in code points; the pattern must not match the empty string."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) if matches is None else matches
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m))

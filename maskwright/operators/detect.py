@@ -77,6 +77,101 @@ TLDS = ("com", "org", "net", "edu", "gov", "int", "info", "biz", "io", "dev", "a
 MONTHS = ("january|gennaio|januar|janvier|enero|januari", "february|febbraio|februar|février|febrero|februari", "march|marzo|märz|mars|maart", "april|aprile|avril|abril", "may|maggio|mai|mayo|mei", "june|giugno|juni|juin|junio", "july|luglio|juli|juillet|julio", "august|agosto|août|augustus", "september|settembre|septembre|septiembre", "october|ottobre|oktober|octobre|octubre", "november|novembre|noviembre", "december|dicembre|dezember|décembre|diciembre")
 _MONTH = "|".join(MONTHS)
 
+#: What may stand between a cue and its number.
+_TAIL = r"(?:[\s:.\-()/#«»\"']|(?<!\w)(?:n[°º]?|nr|no|num|nummer|number|num[ée]ro|n[úu]mero|de|d[’']|du|der|des|die|dem|di|del|della|van|het|the|is|ist|est|es|lautet|luidt|è|are|sont|son|zijn)(?!\w))*$"
+
+
+def _cue(words: str) -> str:
+    return rf"(?iU)(?<!\w)(?:{words})(?!\w)" + _TAIL
+
+
+def _national(label: str, pattern: str, words: str, check: Callable[[Column], Column] = ALWAYS, priority: int = 63) -> Rule:
+    """A national number that counts behind its cue only."""
+    return Rule(label, rf"(?i)(?<!\w)(?:{pattern})(?!\w)", check, cue=_cue(words), needs_cue=True, priority=priority, window=128)
+
+
+_S = r"[ .\-\x{A0}\x{202F}]?"
+NATIONAL: tuple[Rule, ...] = (
+    _national("FR_SPI", rf"[0-9]{{2}}{_S}[0-9]{{2}}(?:{_S}[0-9]{{3}}){{3}}", r"num[ée]ro\s+fiscal(?:\s+de\s+r[ée]f[ée]rence)?|identifiant\s+fiscal|SPI|n[°º]\s*fiscal|num[ée]ro\s+d[’']identification\s+fiscale?"),
+    _national("DE_STEUERNUMMER", r"[0-9]{1,3}/[0-9]{3,4}/[0-9]{4,5}|[0-9]{10,13}", r"steuernummer|steuer-?nr|st\.?-?nr"),
+    _national("ES_CIF", rf"[ABCDEFGHJNPQRSUVW]{_S}[0-9]{{7}}{_S}[0-9A-J]", r"CIF|C\.I\.F|NIF|N\.I\.F|c[óo]digo\s+de\s+identificaci[óo]n\s+fiscal", cs.spanish_company, 66),
+    _national("ES_NSS", r"[0-9]{2}[ /\-]?[0-9]{8}[ /\-]?[0-9]{2}", r"NSS|NAF|(?:n[úu]mero\s+de\s+(?:la\s+)?)?seguridad\s+social|afiliaci[óo]n", cs.spanish_social, 74),
+    _national("NL_RSIN", r"[0-9]{9}", r"RSIN|fiscaal\s+nummer", lambda v: cs.mod11(v, [9, 8, 7, 6, 5, 4, 3, 2, -1]), 64),
+    _national("NL_KVK", r"[0-9]{8}", r"KvK(?:-?nummer|-?nr)?|K\.v\.K|kamer\s+van\s+koophandel|handelsregister(?:nummer)?|HR-?nummer|inschrijvingsnummer"),
+    _national("UK_UTR", r"[0-9]{5} ?[0-9]{5}", r"UTR|unique\s+tax(?:payer)?\s+reference|tax(?:payer)?\s+reference", cs.uk_tax_reference, 66),
+    _national("UK_COMPANY", r"[A-Z]{2}[0-9]{6}|[0-9]{8}", r"company(?:\s+registration)?|companies\s+house|registered(?:\s+in\s+(?:england(?:\s+and\s+wales)?|scotland))?|reg(?:istration)?|CRN"),
+    _national("BE_ENTERPRISE", r"[01][0-9]{3}\.[0-9]{3}\.[0-9]{3}|[01][0-9]{9}", r"KBO|BCE|ondernemingsnummer|ondernemingsnr|num[ée]ro\s+d[’']entreprise|n[°º]\s*d[’']entreprise|entreprise\s+n[°º]|BTW|TVA", lambda v: cs.tail_mod97(v, 10), 66),
+    _national("AT_SVNR", r"[0-9]{4} ?[0-9]{6}", r"SVNR|SV-?Nr|SV-?Nummer|sozialversicherungsnummer|versicherungsnummer|versicherungs-?nr|versichertennummer", cs.austrian_social, 67),
+)
+
+
+def _run(n: int, unit: str = "[0-9]") -> str:
+    """So many characters, printed in groups or not."""
+    return unit if n == 1 else rf"{unit}(?:[ .\-]?{unit}){{{n - 1}}}"
+
+
+def _body(v: Column) -> Column:
+    """What follows the country of a VAT number."""
+    return F.substring(F.upper(F.regexp_replace(v, r"[ .\-]", "")), F.lit(3), F.length(v))
+
+
+def _vat_fr(v: Column) -> Column:
+    b = _body(v)
+    key, siren = F.substring(b, 1, 2), F.substring(b, 3, 9)
+    return cs.luhn(siren) & F.when(key.rlike("^[0-9]{2}$"), (12 + 3 * (siren.cast("long") % 97)) % 97 == key.cast("long")).otherwise(True)
+
+
+def _vat_gb(v: Column) -> Column:
+    d = F.substring(cs.digits(v), 1, 9)
+    total = cs.weighted(F.substring(d, 1, 7), [8, 7, 6, 5, 4, 3, 2]) + F.substring(d, 8, 2).cast("int")
+    return _body(v).rlike("^(GD|HA)") | (total % 97 == 0) | ((total + 55) % 97 == 0)
+
+
+def _vat_pl(v: Column) -> Column:
+    return cs.weighted(F.substring(cs.digits(v), 1, 9), [6, 5, 7, 2, 3, 4, 5, 6, 7]) % 11 == cs.last_digit(cs.digits(v))
+
+
+def _vat_el(v: Column) -> Column:
+    return cs.weighted(F.substring(cs.digits(v), 1, 8), [256, 128, 64, 32, 16, 8, 4, 2]) % 11 % 10 == cs.last_digit(cs.digits(v))
+
+
+#: Countries with a VAT number beside those of RULES: form of the body, check digit or none (fixed values).
+VAT: dict[str, tuple[str, Callable[[Column], Column] | None]] = {
+    "AT": ("U" + _run(8), lambda v: (96 - cs.doubled(F.substring(cs.digits(v), 1, 7), 1)) % 10 == cs.last_digit(cs.digits(v))),
+    "BG": (_run(10) + "|" + _run(9), None),
+    "CY": (_run(8) + "[A-Z]", None),
+    "CZ": (_run(10) + "|" + _run(9) + "|" + _run(8), None),
+    "DK": (_run(8), None),
+    "EE": (_run(9), None),
+    "EL": (_run(9), _vat_el),
+    "GR": (_run(9), _vat_el),
+    "ES": ("[A-Z0-9]" + _run(7) + "[A-Z0-9]", lambda v: cs.spanish_letter(_body(v)) | cs.spanish_company(_body(v))),
+    "FI": (_run(8), None),
+    "FR": ("[A-Z0-9]{2}[ .\\-]?" + _run(9), _vat_fr),
+    "HR": (_run(11), None),
+    "HU": (_run(8), None),
+    "IE": (r"[0-9]{7}[A-W][A-I]?|[0-9][A-Z0-9+*][0-9]{5}[A-W]", None),
+    "LT": (_run(12) + "|" + _run(9), None),
+    "LU": (_run(8), lambda v: F.substring(cs.digits(v), 1, 6).cast("int") % 89 == F.substring(cs.digits(v), 7, 2).cast("int")),
+    "LV": (_run(11), None),
+    "MT": (_run(8), None),
+    "PL": (_run(10), _vat_pl),
+    "RO": (r"[0-9]{4,10}", None),
+    "SE": (_run(10) + "[ .\\-]?01", None),
+    "SI": (_run(8), None),
+    "SK": (_run(10), None),
+    "GB": (_run(12) + "|" + _run(9) + "|(?:GD|HA)[0-9]{3}", _vat_gb),
+    "CHE": (_run(9), None),
+    "NO": (_run(9), None),
+}
+_VAT_CUE = _cue(r"p(?:artita)?\.?\s?iva|vat(?:\s+(?:id|reg(?:istration)?))?|ust-?id(?:-?nr)?|tva|iva|btw|mwst|nif|uid")
+#: With a blank behind the country a number needs its check digit or a cue.
+VAT_RULES: tuple[Rule, ...] = (
+    *(Rule("PIVA", rf"\b{cc}[ .\-]?(?:{body})(?![0-9A-Za-z])", check, priority=71) for cc, (body, check) in VAT.items() if check),
+    Rule("PIVA", r"\b(?:" + "|".join(rf"{cc}[ .\-]?(?:{body})" for cc, (body, check) in VAT.items() if not check) + ")(?![0-9A-Za-z])", lambda v: ~v.rlike(r"^[A-Z]+\s"), cue=_VAT_CUE, keep_unchecked=True, priority=54),
+)
+
+
 RULES: tuple[Rule, ...] = (
     Rule("EMAIL", r"(?U)[\w!#$%&'*+/=?^`{|}~.\-]+@[\p{L}0-9](?:[\p{L}0-9\-]*[\p{L}0-9])?(?:\.[\p{L}0-9](?:[\p{L}0-9\-]*[\p{L}0-9])?)*\.\p{L}{2,24}(?![\p{L}0-9])", _email, trigger="@", priority=90),
     Rule("URL", r"(?i)\b(?:https?|ftp)://[^\s<>\"']*[^\s<>\"'.,;:!?)\]]|\bwww\.[a-z0-9\-]+(?:\.[a-z0-9\-]+)+[^\s<>\"'.,;:!?)\]]*", trigger="://|www\\.", priority=85),
@@ -86,7 +181,7 @@ RULES: tuple[Rule, ...] = (
     Rule("CF", r"(?i)\b[A-Z]{6}[0-9LMNPQRSTUV]{2}[ABCDEHLMPRST][0-9LMNPQRSTUV]{2}[A-Z][0-9LMNPQRSTUV]{3}[A-Z]\b", cs.tax_code_it, cue=r"(?i)(?:codice fiscale|c\.?f\.?)\W*$", keep_unchecked=True, priority=86),
     Rule("PIVA", r"(?<![0-9A-Za-z])(?:IT ?)?[0-9]{11}(?![0-9])", cs.luhn, cue=r"(?i)(?:p(?:artita)?\.? ?iva|vat)\W*$", trigger="[0-9]{11}", priority=70),
     Rule("PIVA", r"\bDE ?[0-9]{9}\b", lambda v: _de_vat(v), cue=r"(?i)vat\W*$|ust-?id\W*$", priority=72),
-    Rule("PIVA", r"\bNL ?[0-9]{9}B[0-9]{2}\b", lambda v: cs.mod11(F.substring(cs.digits(v), 1, 9), [9, 8, 7, 6, 5, 4, 3, 2, -1]), priority=72),
+    Rule("PIVA", r"\bNL ?[0-9]{9}B[0-9]{2}\b", lambda v: cs.mod11(F.substring(cs.digits(v), 1, 9), [9, 8, 7, 6, 5, 4, 3, 2, -1]) | (cs.mod97(F.regexp_replace(v, " ", "")) == 1), priority=72),
     Rule("PIVA", r"\bBE ?[01][0-9]{9}\b", lambda v: cs.tail_mod97(v, 10), priority=72),
     Rule("PIVA", r"\bPT ?[0-9]{9}\b", lambda v: cs.mod11(v, [9, 8, 7, 6, 5, 4, 3, 2, 1]) | (cs.weighted(F.substring(cs.digits(v), 1, 8), [9, 8, 7, 6, 5, 4, 3, 2]) % 11 < 2) & (F.substring(cs.digits(v), 9, 1) == "0"), priority=72),
     Rule("AMOUNT", r"(?i)(?<![\w.,])(?:€|\$|£|eur|usd|gbp|chf)\s?[0-9][0-9.,']*[0-9]|(?<![\w.,])(?:€|\$|£|eur|usd|gbp|chf)\s?[0-9](?![0-9.,])|(?<![\w.,])[0-9](?:[0-9.,']*[0-9])?\s?(?:€|\$|£|(?:euro?|usd|gbp|chf|dollars)\b)", _amount, priority=55),
@@ -119,6 +214,7 @@ RULES: tuple[Rule, ...] = (
     Rule("SECRET", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----", trigger="-----BEGIN", priority=97),
     Rule("WINDOWS_SID", r"\bS-1-(?:5-21|12-1)(?:-[0-9]{1,10}){3,5}\b", trigger="S-1-", priority=92),
     Rule("CRYPTO_WALLET", r"\b(?:bc1[ac-hj-np-z02-9]{11,71}|0x[0-9a-fA-F]{40})\b", trigger="bc1|0x", priority=79),
+    Rule("CRYPTO_WALLET", r"(?<![A-Za-z0-9])[1-9A-HJ-NP-Za-km-z]{25,35}(?![A-Za-z0-9])", cs.base58_check, priority=79),
     Rule("PRODUCT_KEY", r"\b[A-Z0-9]{5}(?:-[A-Z0-9]{5}){4}\b", _product_key, priority=81),
     Rule("HOSTNAME", r"\b(?:DESKTOP|LAPTOP|WIN)-[A-Z0-9]{7,11}\b|(?<=\\\\)[A-Za-z][A-Za-z0-9\-]{2,14}(?=\\)|\b[a-z][a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.(?:local|lan|internal|corp|intra)\b", priority=48),
     Rule("HOSTNAME", r"[A-Za-z][A-Za-z0-9\-]*[0-9A-Za-z]", lambda v: F.length(v) >= 3, cue=r"(?i)\b(?:hostname|computer name|host)\s*[:=]\s*$", needs_cue=True, trigger="(?i)host|computer name", priority=47),
@@ -127,6 +223,8 @@ RULES: tuple[Rule, ...] = (
     Rule("DEVICE_ID", r"[A-Z0-9][A-Z0-9\-]{5,23}", lambda v: v.rlike("[0-9]"), cue=r"(?i)(?:serial(?: number| no\.?)?|s/n|service tag|asset tag|device id)\s*[:=#]?\s*$", needs_cue=True, trigger="(?i)serial|s/n|tag|device id", priority=57),
     Rule("PASSWORD", r"[^\s\"',;]{4,128}", cue=r"(?i)\b(?:password|passwd|pwd|passphrase|passwort|mot de passe|contraseña)\s*[:=]\s*[\"']?$", needs_cue=True, trigger="(?i)passw|pwd|passphrase|mot de passe|contrase", priority=93),
     Rule("SECRET", r"[A-Za-z0-9_\-./+=]{8,}", cue=r"(?i)\b(?:api[_ \-]?key|secret(?:[_ ]key)?|access[_ ]token|token|bearer)\s*[:=]?\s*[\"']?$", needs_cue=True, trigger="(?i)key|secret|token|bearer", check=lambda v: v.rlike("[0-9]"), priority=92),
+    *NATIONAL,
+    *VAT_RULES,
     Rule("USERNAME", r"[A-Za-z0-9._\-]{3,32}", cue=r"(?i)\b(?:user(?:name)?|login|benutzer(?:name)?|utente)\s*[:=]\s*[\"']?$", needs_cue=True, trigger="(?i)user|login|benutzer|utente", priority=46),
 )
 #: Labels whose spans are exact: compared with case, never trimmed or widened.
@@ -169,11 +267,38 @@ def rule_entities(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.trigger or rule.pattern), found).otherwise(empty)
 
 
+#: Labels whose values, once anchored, are tagged wherever they recur in the same text; in any case of letters for the first two.
+PROPAGATED = ("HOSTNAME", "DEVICE_ID", "PASSWORD", "SECRET", "USERNAME")
+
+
+def propagated(text: Column, entities: Column) -> Column:
+    """Further occurrences in a text of values already found in it, of six letters or digits at least (of a full host name its first label too): lowest priority, not validated."""
+    anchors = F.filter(entities, lambda e: e["label"].isin(*PROPAGATED))
+    named = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
+    values = F.transform(anchors, lambda e: named(e["label"], e["value"]))
+    hosts = F.transform(F.filter(anchors, lambda e: (e["label"] == "HOSTNAME") & F.contains(e["value"], F.lit("."))), lambda e: named(e["label"], F.substring_index(e["value"], ".", 1)))
+    keep = lambda v: (F.length(F.regexp_replace(v["value"], r"[^\p{L}\p{N}]", "")) >= 6) | (v["label"] == "HOSTNAME") & v["value"].rlike("^[A-Za-z][A-Za-z0-9.\\-]*[0-9]") & (F.length(v["value"]) >= 4)
+    distinct = F.array_distinct(F.filter(F.concat(values, hosts), keep))
+
+    def again(v: Column) -> Column:
+        literal = F.concat(F.lit("\\Q"), F.replace(v["value"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        pattern = F.concat(F.when(v["label"].isin(*PROPAGATED[:2]), F.lit("(?iU)")).otherwise(F.lit("(?U)")), F.lit(r"(?<![\w\-])"), literal, F.lit(r"(?![\w\-]|\.\w)"))
+        entity = lambda s: F.struct(v["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("validated"), F.lit(0.5).alias("score"), F.lit(1).alias("priority"), F.lit("propagated").alias("source"))
+        fresh = lambda s: ~F.exists(anchors, lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"]))
+        return F.transform(F.filter(spans(text, pattern), fresh), entity)
+
+    return F.array_distinct(F.flatten(F.transform(distinct, again)))
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with a column ``entities``: candidates of all rules, unresolved; a null text has none."""
     rules = [r for r in RULES if labels is None or r.label in labels]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("entities", F.flatten(F.array(*(rule_entities(text, r) for r in rules))))
+    out = docs.withColumn("entities", F.flatten(F.array(*(rule_entities(text, r) for r in rules))))
+    if not any(r.label in PROPAGATED for r in rules):
+        return out
+    anchored = F.exists("entities", lambda e: e["label"].isin(*PROPAGATED))
+    return out.withColumn("entities", F.when(anchored, F.concat("entities", propagated(text, F.col("entities")))).otherwise(F.col("entities")))
 
 
 def custom_terms(docs: DataFrame, terms: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
