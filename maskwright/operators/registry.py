@@ -8,6 +8,7 @@ exclusion sets a flag, and a placeholder that was ever handed out stays decodabl
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,18 +41,30 @@ def surface_key(label: Column, surface: Column) -> Column:
     return F.concat(group, F.lit("|"), F.when(label.isin(*EXACT), surface).when(group == "FULLNAME", name).when(group == "ORG", org).otherwise(bare))
 
 
-def resolve_merges(entities: DataFrame, doublings: int = 5) -> DataFrame:
-    """``id, root``: the end of each chain of ``merged_into``, found by pointer doubling (chains of up to 2 ** doublings links).
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialise in the session's checkpoint folder, a temporary one where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-checkpoint-"))
+    return df.checkpoint(eager=True)
 
-    A pointer to a missing entity ends its chain there. Entities whose chain runs in a circle are their own root.
+
+def resolve_merges(entities: DataFrame) -> DataFrame:
+    """``id, root``: the end of each chain of ``merged_into``, found by pointer doubling until no pointer changes.
+
+    A pointer to a missing entity ends its chain there. Entities whose chain runs in a circle are their own root:
+    they reach no end in as many rounds as the longest possible chain needs.
     """
     present = entities.select(F.col("id").alias("merged_into"))
     valid = entities.where("merged_into IS NOT NULL").join(present, "merged_into", "left_semi").select("id", "merged_into")
-    jump = entities.select("id").join(valid, "id", "left").select("id", F.coalesce("merged_into", "id").alias("to"))
-    for _ in range(doublings):
+    jump = _cut(entities.select("id").join(valid, "id", "left").select("id", F.coalesce("merged_into", "id").alias("to")))
+    ends = jump.where(F.col("id") == F.col("to")).join(valid, "id", "left_anti").select(F.col("id").alias("end"))
+    for _ in range(jump.where(F.col("id") != F.col("to")).count().bit_length()):
         ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        jump = jump.join(ahead, "to").select("id", F.col("further").alias("to"))
-    ends = entities.select("id").join(valid, "id", "left_anti").select(F.col("id").alias("end"))
+        moved = _cut(jump.join(ahead, "to").select("id", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("changed")))
+        jump = moved.select("id", "to")
+        if moved.where("changed").isEmpty():
+            break
     return jump.join(ends, jump["to"] == ends["end"], "left").select("id", F.when(F.col("end").isNotNull(), F.col("to")).otherwise(F.col("id")).alias("root"))
 
 
