@@ -22,7 +22,8 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.external_shuffle(table(spark, sf_dir, "documents"), shards=16)
+    docs = table(spark, sf_dir, "documents")
+    return sharding.written_shards(sharding.external_shuffle(docs, shards=16, carry=tuple(docs.columns), stable=True))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
