@@ -43,7 +43,7 @@ MEMO = 1_000_000
 STATES = 600_000
 #: Pairs of tokens whose encoding a worker remembers.
 PAIRS = 1_000_000
-#: Longest unit whose prefixes are counted one by one where the programme does not apply.
+#: Longest unit whose prefixes are counted from its begin where the programme does not apply; longer ones are cut first.
 BRUTE = 2048
 
 
@@ -172,11 +172,44 @@ class PrefixCounter:
             base = out[-1]
         return out if len(out) == len(unit) else None
 
+    def boundaries(self, unit: str) -> list[int]:
+        """Places of a unit, both ends included, between which every prefix is encoded alone.
+
+        Behind a special string, and where the normal form goes from one class of the splitter to another; never inside a
+        special string, before a character that may join the one before it, or behind a quote.
+        """
+        inside, behind = set(), set()
+        for s in self.specials:
+            at = unit.find(s)
+            while at >= 0:
+                inside.update(range(at + 1, at + len(s)))
+                behind.add(at + len(s))
+                at = unit.find(s, at + 1)
+        out, start = [0], 0
+        for i in range(1, len(unit)):
+            c = unit[i]
+            if unicodedata.category(c)[0] == "M" or 0x1100 <= ord(c) < 0x1200:
+                continue
+            left = unicodedata.normalize("NFC", unit[start:i])[-1].lower()[-1]
+            start = i
+            right = unicodedata.normalize("NFC", c).lower()[0]
+            kinds = [unicodedata.category(x)[0] for x in (left, right)]
+            apart = kinds[0] == "N" or kinds[1] == "N" or (kinds[0] == "L") != (kinds[1] == "L")
+            if i not in inside and (i in behind - inside or apart and left != "'"):
+                out.append(i)
+        return [*out, len(unit)]
+
     def brute(self, unit: str) -> list[int]:
-        """Counts by the library, prefix by prefix; beyond BRUTE characters only the whole is counted and earlier prefixes carry 0."""
-        if len(unit) > BRUTE:
-            return [0] * (len(unit) - 1) + [len(self.library.encode(unit, add_special_tokens=False).ids)]
-        return [len(e.ids) for e in self.library.encode_batch([unit[: i + 1] for i in range(len(unit))], add_special_tokens=False)]
+        """Counts by the library, prefix by prefix; a unit of more than BRUTE characters in parts that are encoded alone."""
+        places = self.boundaries(unit) if len(unit) > BRUTE else [0, len(unit)]
+        out, base = [], 0
+        for a, b in zip(places, places[1:], strict=False):
+            for i in range(a, b, 256):
+                out += [base + len(e.ids) for e in self.library.encode_batch([unit[a : j + 1] for j in range(i, min(i + 256, b))], add_special_tokens=False)]
+            base = out[-1]
+        if out[-1] != len(self.library.encode(unit, add_special_tokens=False).ids):
+            raise ValueError("the parts of a unit do not add up to its count")
+        return out
 
     def _deltas(self, unit: str) -> bytes:
         """Changes of the count, one 16-bit number per character of the unit."""
@@ -280,8 +313,8 @@ def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     give a row, other columns are ignored, an empty table gives no rows. Texts are taken whole,
     without begin, end or other added tokens; special strings in a text are found as the
     library finds them. A unit (text between white space) that Unicode normalisation
-    changes letter by letter is counted by the library itself; where such a unit is longer than
-    ``BRUTE`` characters its inner prefixes carry the count before it.
+    changes letter by letter is counted by the library itself, at every prefix; beyond ``BRUTE`` characters in parts that are
+    encoded alone.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
