@@ -8,23 +8,26 @@ connected need not be enumerated; no link that could join two groups is skipped.
    are one class) and a parity bitmap, and finds *common* shingles (those that recur within slices
    of the corpus), a list of bounded length that holds the most frequent ones.
 2. A second pass takes each class's *prefix*: the first ``n - ceil(0.75 n) + 1`` shingles in the
-   order (common, hash). Two sets that link share a shingle of both prefixes, whatever the
+   order (how common, hash). Two sets that link share a shingle of both prefixes, whatever the
    order, so the order only decides how many rows meet. Prefixes travel as packed arrays of
-   (hash, id), dealt by hash; only hashes that two documents have come out again, as keys.
-3. A few turns hold each class against hubs of its keys (the key's first class, then ones picked
+   (hash, id), dealt by hash; of hashes that two documents have, those with the very same
+   documents come out as one *key*, as they would only find the same pairs again.
+3. Turns hold each class against hubs of its keys (the key's first class, then ones picked
    by hash), a bounded number of pairs for each class. Those that pass the size and bitmap bounds are
    verified by intersecting their sorted arrays, and joined to components: this is what
    spares a large group of near copies its pairs. Keys that hold one component only then go.
+   Turns end when one finds no link, or when what is left is few pairs for each row.
 4. What is left to find are links between different components. Keys that hold two or more
-   components meet in tiles: (key, size band, salt). Inside a tile the same bounds hold, and
-   the pairs that pass are verified. A large key is dealt over as many salts as it needs.
+   components meet in tiles: (key, size band, salt). Inside a tile the same bounds hold, with
+   bitmaps that are longer in the bands of larger sets, and the pairs that pass are verified. A
+   large key is dealt over as many salts as it needs.
 
 Why the bitmap bounds: bit j holds the parity of a set's shingles that hash to j. Where two
 bitmaps differ, at least one shingle is in one set only, so |A ^ B| >= popcount(a ^ b) and
 2 |A & B| <= |A| + |B| - popcount(a ^ b).
 
-A short bitmap travels with each row, one as long as the set with each pair: parities of half
-as many bits are the exclusive or of the halves, so bitmaps of two lengths compare.
+A bitmap of bounded length travels with each row, one as long as the set with each pair: parities
+of half as many bits are the exclusive or of the halves, so bitmaps of two lengths compare.
 
 Whole shingle sets move only for documents of pairs that passed the bounds; they are made anew
 from the texts, which never move themselves.
@@ -32,7 +35,6 @@ from the texts, which never move themselves.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, chunks, cut, map_batches, release
 from .components import components
-from .shingles import WHITE, mix, shingle_sets
+from .shingles import WHITE, mix, set_key, shingle_sets
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 75
@@ -52,10 +54,10 @@ COMMON, COMMON_MOST = 4, 2_000_000
 SLICE, SLICE_SHINGLES = 4096, 4 << 20
 #: Prefix entries of a bucket on average.
 BUCKET_ENTRIES = 1 << 19
-#: Bitmap words of 64 bits.
-BITMAP = 8
-#: Hubs that a node is held against in each turn before the tiles.
-HUBS = (1, 8)
+#: Words of 64 bits in the bitmap that travels with a class, and at most in the one that travels with a tile's rows.
+BITMAP, TILE_BITMAP = 8, 64
+#: Hubs that a node is held against in the first turn and in later ones, the most turns, and pairs for each row that are left to tiles before that.
+HUBS, TURNS, EASY = (1, 8), 6, 32
 #: Rows of a key that one salt of a tile holds.
 TILE = 512
 
@@ -65,24 +67,27 @@ def least_overlap(n: Column, m: Column, percent: int = PERCENT) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
-def wide_bitmap(s: np.ndarray) -> bytes:
-    """Parities of the shingles over about as many bits as there are shingles, at least 512."""
+def wide_bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles over about as many bits as there are shingles, at least 512, as 64-bit words."""
     size = 1 << max(9, int(len(s) - 1).bit_length()) if len(s) else 512
     bits = np.bincount((mix(s.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """Bits that differ between two wide bitmaps, the longer one folded: a bound from below of |A ^ B|."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    while len(x) > len(y):
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap over fewer bits: halves are added as parities."""
+    while len(x) > words:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return x
 
 
-def _first_pass(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits that differ between two bitmaps, the longer one folded: a bound from below of |A ^ B|."""
+    n = min(len(a), len(b))
+    return int(np.bitwise_count((folded(a, n) ^ folded(b, n)).view(np.uint64)).sum())
+
+
+def _first_pass(docs: DataFrame, k: int, table: bytes) -> DataFrame:
     """``id, n, class, bits`` of every document; besides, with null bits and class, hashes (as id) that are common in a slice, and their documents (as n)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,15 +101,16 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
             every.sort()
             found, n = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
             m = len(found)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n + 1), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary()), pa.array([True] * m, type=pa.bool_())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n + 1), pa.nulls(m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64())), pa.array([True] * m, type=pa.bool_())], names=names)
 
         for batch in batches:
             texts = bytes_of(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts]):
                 sets = shingle_sets(texts[lo:hi], table, k)
-                keys = [class_key(s) for s in sets]
+                keys = [set_key(s, t, table) for s, t in zip(sets, texts[lo:hi], strict=True)]
+                wide = [wide_bitmap(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array([bitmap(s) for s in sets], type=pa.list_(pa.int64())), pa.array([wide_bitmap(s) for s in sets], type=pa.binary()), pa.array([False] * len(sets), type=pa.bool_())],
+                    [batch.column(0)[lo:hi], pa.array([len(s) for s in sets], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array([folded(w, BITMAP) for w in wide], type=pa.list_(pa.int64())), pa.array(wide, type=pa.list_(pa.int64())), pa.array([False] * len(sets), type=pa.bool_())],
                     names=names,
                 )
                 for s, key in zip(sets, keys, strict=True):
@@ -118,30 +124,19 @@ def _first_pass(docs: DataFrame, k: int, table: np.ndarray) -> DataFrame:
         if held:
             yield counted()
 
-    return map_batches(docs, kernel, "id long, n long, class binary, bits array<long>, wide binary, common boolean")
-
+    return map_batches(docs, kernel, "id long, n long, class binary, bits array<long>, wide array<long>, common boolean")
 
-def class_key(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s, digest_size=16).digest()
 
-
-def prefix(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles one of which any linking set shares in its own prefix, in the order (common, hash)."""
+def prefix(s: np.ndarray, common: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles one of which any linking set shares in its own prefix, in the order (level, hash); shingles that are not common have level 0."""
     n = len(s)
     want = n - (percent * n + 99) // 100 + 1 if n else 0
     if len(common) and n:
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        is_common = common[at] == s
-        s = np.concatenate([s[~is_common], s[is_common]])
+        s = s[np.argsort(np.where(common[at] == s, level[at], 0), kind="stable")]
     return s[:want]
 
 
-def bitmap(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
-    """Parity of the shingles that hash to each of 64 * words bits."""
-    bits = np.bincount((mix(s.view(np.uint64)) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
 def _packed(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Rows (bucket, keys, first id, id steps) of packed prefix entries."""
     order = np.argsort(ids, kind="stable")
@@ -165,8 +160,12 @@ def _unpacked(keys: bytes, first: int, steps: bytes) -> tuple[np.ndarray, np.nda
     return k, np.frombuffer(steps, dtype=np.uint32).astype(np.int64) + first
 
 
-def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, common: np.ndarray, buckets: int) -> DataFrame:
-    """``key, id, core``: prefix hashes that two ids have, one id per class and task at least; core: in the id's shorter prefix."""
+def _shared_keys(docs: DataFrame, k: int, table: bytes, percent: int, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """``key, id, core, hashes``: one row per id and set of ids that share prefix hashes, one id per class and task at least.
+
+    core: one of the key's hashes is in the id's shorter prefix; hashes: how many the key stands for in its
+    bucket. A key is made from the ids that have its hashes; that two sets of ids might make the same one only adds pairs.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +176,11 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
         for batch in batches:
             texts, names = bytes_of(batch.column(1)), batch.column(0).to_pylist()
             for lo, hi in chunks([len(t) for t in texts]):
-                for i, s in zip(names[lo:hi], shingle_sets(texts[lo:hi], table, k), strict=True):
-                    key = class_key(s)
-                    if not len(s) or i is None or key in seen:
+                for i, t, s in zip(names[lo:hi], texts[lo:hi], shingle_sets(texts[lo:hi], table, k), strict=True):
+                    if not len(s) or i is None or (key := set_key(s, t, table)) in seen:
                         continue
                     seen.add(key)
-                    own = prefix(s, order, percent)
+                    own = prefix(s, *order, percent)
                     # The lowest bit tells the part of the prefix that partners of the same size or larger must share.
                     core = np.arange(len(own)) < len(s) + 1 - -(-2 * percent * len(s) // (100 + percent))
                     keys.append((own & ~1) | core)
@@ -214,8 +212,16 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
             twin[1:] |= same
             twin[:-1] |= same
             key, i, core = key[twin], i[twin], core[twin]
+            if not len(key):
+                continue
+            runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            same_ids = np.repeat(np.add.reduceat(mix(mix(i.view(np.uint64)) + np.uint64(k)), runs).view(np.int64), np.diff(runs, append=len(key)))
+            order = np.lexsort((i, same_ids))
+            key, i, core = same_ids[order], i[order], core[order]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1])]))
+            key, i, core, hashes = key[first], i[first], np.logical_or.reduceat(core, first), np.diff(first, append=len(key))
             for lo in range(0, len(key), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(i[lo : lo + (1 << 16)]), pa.array(core[lo : lo + (1 << 16)])], names=["key", "id", "core"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in (key, i, core, hashes)], names=["key", "id", "core", "hashes"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -230,7 +236,7 @@ def _shared_keys(docs: DataFrame, k: int, table: np.ndarray, percent: int, commo
             yield from repeated(parts)
 
     packed = map_batches(docs, pack, "bucket long, keys binary, first long, steps binary")
-    return map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), unpack, "key long, id long, core boolean")
+    return map_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), unpack, "key long, id long, core boolean, hashes long")
 
 
 def _wanted_bits(ids: DataFrame, n: int) -> np.ndarray:
@@ -242,7 +248,7 @@ def _wanted_bits(ids: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, k: int, table: np.ndarray, wanted: DataFrame, unique: bool) -> DataFrame:
+def _sets(docs: DataFrame, k: int, table: bytes, wanted: DataFrame, unique: bool) -> DataFrame:
     """``id, class, set`` of ids that pass a filter for the wanted ones, made anew from their texts."""
     bits = _wanted_bits(wanted, wanted.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -255,18 +261,36 @@ def _sets(docs: DataFrame, k: int, table: np.ndarray, wanted: DataFrame, unique:
             texts = bytes_of(batch.column(1))
             for lo, hi in chunks([len(t) for t in texts]):
                 sets = shingle_sets(texts[lo:hi], table, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([class_key(s) for s in sets], type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "class", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([set_key(s, t, table) for s, t in zip(sets, texts[lo:hi], strict=True)], type=pa.binary()), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "class", "set"])
 
     made = map_batches(docs.where("id IS NOT NULL").select("id", "text", at.alias("place")), kernel, "id long, class binary, set array<long>")
     return made if unique else made.dropDuplicates(["id", "class"])
 
 
+def _room(a: str, b: str, percent: int, differ: Column) -> Column:
+    """Whether sets whose bitmaps differ in so many bits can overlap enough."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return 2 * least_overlap(n, m, percent) <= n + m - differ
+
+
 def could_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and bitmaps allow a link of the sets whose columns end in a and b."""
+    """Whether sizes and the bitmaps' first words allow a link of the sets whose columns end in a and b; a set of one shingle links with its own class only."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
     differ = sum((F.bit_count(F.col(f"bits{a}")[i].bitwiseXOR(F.col(f"bits{b}")[i])) for i in range(BITMAP)), F.lit(0))
-    need = least_overlap(n, m, percent)
-    return (2 * need <= n + m - differ) & (need <= F.least(n, m))
+    return (least_overlap(n, m, percent) <= F.least(n, m)) & (n + m > 2) & _room(a, b, percent, differ)
+
+
+def could_link_wide(a: str, b: str, percent: int) -> Column:
+    """The same by all words of bitmaps that are longer."""
+    every = F.aggregate(F.zip_with(f"bits{a}", f"bits{b}", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (F.size(f"bits{a}") <= BITMAP) | _room(a, b, percent, every)
+
+
+def fold_to(x: Column, words: Column, halvings: int) -> Column:
+    """A bitmap folded until it has so many words; ``halvings`` are enough for that."""
+    half = lambda s: (F.size(s) / 2).cast("int")
+    fold = lambda s: F.zip_with(F.slice(s, F.lit(1), half(s)), F.slice(s, half(s) + 1, half(s)), lambda p, q: p.bitwiseXOR(q))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), x, lambda s, _: F.when(F.size(s) > words, fold(s)).otherwise(s))
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +298,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
+            n, m = (batch.column(c).to_pylist() for c in (2, 3))
+            x, y = ([v.values.to_numpy() for v in batch.column(c)] for c in (4, 5))
             keep = [100 * (p + q - d) >= percent * (p + q + d) for p, q, d in zip(n, m, map(differing, x, y), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
@@ -282,7 +307,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b"), kernel, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table: np.ndarray, percent: int, unique: bool) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table: bytes, percent: int, unique: bool) -> DataFrame:
     """Pairs (a, b) of nodes whose sets link, by intersection of their sorted arrays."""
     left, right = (nodes.select(F.col("node").alias(x), F.col("id").alias(f"id_{x}"), F.col("class").alias(f"class_{x}")) for x in "ab")
     pairs = cut(_bounded(pairs, nodes, percent).join(left, "a").join(right, "b"))
@@ -309,7 +334,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, table
 
 def _open(entries: DataFrame, parts: DataFrame) -> DataFrame:
     """Entries with their components, of keys that hold two components at least."""
-    labelled = entries.select("key", "node", "core").join(parts, "node", "left").select("key", "node", "core", F.coalesce("component", "node").alias("component"))
+    labelled = entries.drop("component").join(parts, "node", "left").select("key", "node", "core", "hashes", F.coalesce("component", "node").alias("component"))
     per = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return cut(labelled.join(per, "key"))
 
@@ -321,33 +346,44 @@ def _hub_pairs(entries: DataFrame, nodes: DataFrame, percent: int, turn: int, mo
     """
     order = F.col("node") if not turn else F.xxhash64("node", "key", F.lit(turn))
     hubs = entries.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_part"))).alias("h")).select("key", "h.hub", "h.hub_part")
-    shared = entries.join(hubs, "key").where("component <> hub_part").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("keys"))
+    shared = entries.join(hubs, "key").where("component <> hub_part").groupBy("node", "hub").agg(F.sum("hashes").alias("keys"))
     best = shared.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("keys"), "hub"))).where(F.col("place") <= most)
     pairs = best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
 
 
+def _easy(entries: DataFrame) -> bool:
+    """Whether tiles would hold few pairs for each row."""
+    got = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).agg(F.sum("rows").alias("rows"), F.sum(F.col("rows").cast("double") * (F.col("rows") - 1) / 2).alias("pairs")).first()
+    return (got.pairs or 0) <= EASY * (got.rows or 0)
+
+
 def _tiled(entries: DataFrame, nodes: DataFrame, percent: int, tile: int) -> DataFrame:
     """Candidate pairs between components: same key, sizes that can link, bitmaps that can overlap enough."""
     per = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    open_ = entries.join(per, "key").join(nodes.select("node", "n", "bits"), "node")
     # A linking pair's sizes differ by less than 100/percent, so its bands are equal or next to each other.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    open_ = open_.withColumn("band", band).withColumn("salts", F.ceil(F.col("rows") / tile).cast("int"))
+    step = 100.0 / percent
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(step)) + 1e-9).cast("int")
+    # Never more words than the smallest set of the band has in its own bitmap.
+    words = lambda b: F.least(F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.pow(F.lit(step), b)) - 1e-6) - 6), F.lit(float(BITMAP))), F.lit(float(TILE_BITMAP))).cast("int")
+    wide = nodes.select("node", "n", "wide", band.alias("band")).join(entries.select("node").distinct(), "node", "left_semi")
+    wide = wide.select("node", "n", "band", fold_to(F.col("wide"), words(F.col("band")), 40).alias("bits"))
+    open_ = entries.join(per, "key").join(wide, "node").withColumn("salts", F.ceil(F.col("rows") / tile).cast("int"))
     left = open_.select("key", "band", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "bits", "band", "core")))
     spread = F.explode(F.expr("flatten(transform(array(band, band - 1), b -> transform(sequence(0, salts - 1), s -> struct(b AS band, s AS salt))))")).alias("t")
-    right = open_.select("key", spread, *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "bits", "band", "core"))).select("key", F.col("t.band").alias("band"), F.col("t.salt").alias("salt"), "node_b", "component_b", "n_b", "bits_b", "band_b", "core_b")
+    right = open_.select("key", spread, *(F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "bits", "band", "core")))
+    right = right.select("key", F.col("t.band").alias("band"), F.col("t.salt").alias("salt"), "node_b", "component_b", "n_b", fold_to(F.col("bits_b"), words(F.col("t.band")), 3).alias("bits_b"), "band_b", "core_b")
     # Each pair once: the larger band on the right, or the larger node within a band.
     once = (F.col("band_a") < F.col("band_b")) | (F.col("node_a") < F.col("node_b"))
     # Sets of one size or a smaller one share a key of the smaller set's core.
     core = (F.col("core_a") | (F.col("n_a") > F.col("n_b"))) & (F.col("core_b") | (F.col("n_b") > F.col("n_a")))
-    could = once & core & (F.col("component_a") != F.col("component_b")) & could_link("_a", "_b", percent)
+    could = once & core & (F.col("component_a") != F.col("component_b")) & could_link("_a", "_b", percent) & could_link_wide("_a", "_b", percent)
     joined = left.join(right, (left["key"] == right["key"]) & (left["band"] == right["band"]) & (left["salt"] == right["salt"]) & could)
     return joined.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, table: np.ndarray = WHITE, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, table: bytes = WHITE, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     component_id is the smallest id reachable by links, the row's own included. Null, empty
@@ -367,32 +403,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if found > COMMON_MOST:
         least = often.agg(F.percentile_approx("n", 1 - COMMON_MOST / found)).first()[0]
         often = often.where(F.col("n") > least)
-    common = np.sort(often.select("id").toArrow().column(0).to_numpy())  # COMMON_MOST at most
+    listed = often.select("id", F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()  # COMMON_MOST at most
+    common, level = listed.column(0).to_numpy(), listed.column(1).to_numpy()
+    order = np.argsort(common)
+    common = (common[order], level[order])
     real = sig.where("id IS NOT NULL AND n > 0")
-    # Numbers for classes: any will do once they are written, as documents get their smallest id back at the end.
-    nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).withColumn("node", F.monotonically_increasing_id()))
-    member = cut(real.select("id", "class").distinct().join(nodes.select("class", "node"), "class").select("id", "node"))
+    # A class is named by its smallest id; where ids have several classes any number will do once it is written.
+    name = F.col("id") if unique else F.monotonically_increasing_id()
+    nodes = cut(real.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("rows")).withColumn("node", name))
+    # Classes with many rows, fewer than 1024 of them, are told to every task; the others meet their rows by a shuffle.
+    large = max(1024, total.docs // 1024)
+
+    def by_class(rows: DataFrame, named: DataFrame) -> DataFrame:
+        """Rows with what ``named`` says of their class; as many rows of one class as there may be."""
+        named = named.join(nodes.select("class", "rows"), "class")
+        hot = F.broadcast(named.where(F.col("rows") > large).drop("rows"))
+        cold = named.where(F.col("rows") <= large).drop("rows")
+        return rows.join(hot, "class").unionByName(rows.join(hot.select("class"), "class", "left_anti").join(cold, "class", "left"))
+
+    member = cut(by_class(real.select("id", "class").distinct(), nodes.select("class", "node")).select("id", "node"))
 
     buckets = min(1 << 16, max(1, -(-total.shingles // (4 * BUCKET_ENTRIES))))
-    entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").groupBy("key", "node").agg(F.max("core").alias("core"))
+    entries = _shared_keys(docs, k, table, percent, common, buckets).join(member, "id").groupBy("key", "node").agg(F.max("core").alias("core"), F.sum("hashes").alias("hashes"))
     entries = cut(entries)
     release(docs.sparkSession)
     ids = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi")
     same_id = member.join(ids.select("id", "b"), "id").where("node <> b").select(F.col("node").alias("a"), "b")
-    links, left = same_id, entries.withColumn("component", F.col("node"))
-    for turn, most in enumerate(HUBS):
-        links = cut(links.union(_verified(_hub_pairs(left, nodes, percent, turn, most), docs, nodes, k, table, percent, unique)))
+    links, left, known = same_id, entries.withColumn("component", F.col("node")), None
+    for turn in range(TURNS):
+        new = _verified(_hub_pairs(left, nodes, percent, turn, HUBS[min(turn, len(HUBS) - 1)]), docs, nodes, k, table, percent, unique)
+        links = cut(links.union(new))
         parts = components(links)
         left = _open(left, parts)
         release(docs.sparkSession)
-        if left.isEmpty():
+        known, before = links.count(), known
+        if left.isEmpty() or turn and (known == before or _easy(left)):
             break
-    else:
+    if not left.isEmpty():
         parts = components(links.union(_verified(_tiled(left, nodes, percent, tile), docs, nodes, k, table, percent, unique)))
-    named = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    answer = named.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
-    return sig.select("id", "n").join(answer, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    if unique:
+        named = nodes.join(parts, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
+        linked = by_class(real.select("id", "n", "class"), named).select("id", "n", "component_id")
+        answer = linked.unionByName(sig.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id")))
+    else:
+        named = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+        per_id = named.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))
+        answer = sig.select("id", "n").join(per_id, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    return answer.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
