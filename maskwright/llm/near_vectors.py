@@ -7,13 +7,13 @@
    all its pairs. Members of one ball link with each other; each ball is one star of edges.
 3. Every tree splits its node's vectors by random projections at the median, level by level; vectors
    close to a split go to both sides (spill). Splits come from a bounded sample, every vector
-   runs down every tree.
-4. In each leaf all pairs that do not share a ball are compared in double precision; a pair
+   runs down every tree. The depth follows the number of vectors, not the sample: below the nodes that the sample
+   can still be split in, each further level splits at the median that the node's own part of the
+   sample has on that level's projection.
+4. In each leaf all pairs that do not share a ball are compared in double precision, block by block; a pair
    that meets in several leaves counts in the first of them only. A leaf sends one row per
    linked vector (its count and its local root), never its pairs.
 5. Counts add up to ``n_links``, roots are joined to components.
-
-A leaf's work is bounded: the depth follows the number of vectors.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .components import components
+from .components import components, local_roots
 
 #: Trees, share of a node's vectors on either side of the split that go both ways, vectors of a leaf.
 TREES, SPILL, LEAF = 10, 0.05, 1024
-#: Vectors that splits and balls are fitted on.
-SAMPLE = 20_000
+#: Vectors that splits and balls are fitted on, and those of a node that is still split in two by them.
+SAMPLE, FITTED = 20_000, 64
+#: Cells of an array that a leaf's comparison makes at once.
+CELLS = 1 << 22
 #: A ball is kept if it holds this share of the sample, and at least so many of its vectors.
 BALL_SHARE, BALL_LEAST = 0.004, 40
 
@@ -40,24 +42,33 @@ BALL_SHARE, BALL_LEAST = 0.004, 40
 class Forest:
     """Random projections and split points fitted on a sample of unit vectors."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int):
+    def __init__(self, sample: np.ndarray, depth: int, trees: int, spill: float, seed: int, fitted: int = FITTED):
         rng = np.random.default_rng(seed)
         self.depth, self.trees = depth, trees
+        # Levels whose nodes hold enough of the sample; those below split each such node by its own medians.
+        self.top = top = max(0, min(depth, int(math.log2(max(1, len(sample) / fitted)))))
         self.normals = rng.standard_normal((sample.shape[1] if sample.size else 1, trees * depth))
-        self.lo, self.mid, self.hi = (np.zeros((trees, max(1, (1 << depth) - 1))) for _ in range(3))
+        # Per tree: lower end, median and upper end of the split of each node of the upper levels, then of each level below for each node above it.
+        self.cuts = np.zeros((3, trees, max(1, (1 << top) - 1 + ((depth - top) << top))))
         projected = sample @ self.normals if sample.size else np.zeros((0, trees * depth))
+        ends = [0.5 - spill, 0.5, 0.5 + spill]
         for t in range(trees):
             groups = {0: np.arange(len(sample))}
             for level in range(depth):
                 down: dict[int, np.ndarray] = {}
-                for node in range(1 << level):
+                for node in range(1 << min(level, top)):
                     rows = groups.get(node, np.zeros(0, dtype=np.int64))
                     p = projected[rows, t * depth + level]
-                    q = np.quantile(p, [0.5 - spill, 0.5, 0.5 + spill]) if len(p) else np.zeros(3)
-                    at = (1 << level) - 1 + node
-                    self.lo[t, at], self.mid[t, at], self.hi[t, at] = q
-                    down[2 * node], down[2 * node + 1] = rows[p < q[1]], rows[p >= q[1]]
-                groups = down
+                    q = np.quantile(p, ends) if len(p) else np.zeros(3)
+                    self.cuts[:, t, self._at(level, node << max(0, level - top))] = q
+                    if level < top:
+                        down[2 * node], down[2 * node + 1] = rows[p < q[1]], rows[p >= q[1]]
+                groups = down if level < top else groups
+
+    def _at(self, level: int, node):
+        """Place of a node's split."""
+        top = self.top
+        return (1 << level) - 1 + node if level < top else (1 << top) - 1 + ((level - top) << top) + (node >> (level - top))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and leaf numbers (over all trees) of unit vectors; a row may be in several leaves of a tree."""
@@ -66,10 +77,11 @@ class Forest:
         for t in range(self.trees):
             rows, nodes = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
             for level in range(self.depth):
-                p, at = projected[rows, t * self.depth + level], (1 << level) - 1 + nodes
-                left, right = p < self.hi[t, at], p >= self.lo[t, at]
+                p = projected[rows, t * self.depth + level]
+                lo, mid, hi = self.cuts[:, t, self._at(level, nodes)]
+                left, right = p < hi, p >= lo
                 neither = ~(left | right)
-                left |= neither & (p < self.mid[t, at])
+                left |= neither & (p < mid)
                 right |= neither & ~left
                 rows = np.concatenate([rows[left], rows[right]])
                 nodes = np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
@@ -114,45 +126,39 @@ def compare_leaf(x: np.ndarray, weight: np.ndarray, ball: np.ndarray, paths: lis
     x: unit vectors in double precision; paths: the leaves each vector is in; ball: its ball or -1.
     """
     n = len(x)
-    links, root = np.zeros(n, dtype=np.int64), np.full(n, -1)
-    pairs_i, pairs_j = [], []
-    for lo in range(0, n, 1024):
-        near = x[lo : lo + 1024] @ x.T >= cosine
-        i, j = np.nonzero(near)
+    links, root = np.zeros(n, dtype=np.int64), np.arange(n)
+    earlier = [p[p < leaf] for p in paths]
+    wide = max((len(e) for e in earlier), default=0)
+    # Leaves before this one, filled up with numbers that no other vector has.
+    before = -1 - np.arange(n, dtype=np.int64)[:, None] * np.ones((1, max(1, wide)), dtype=np.int64)
+    for k, e in enumerate(earlier):
+        before[k, : len(e)] = e
+    step = max(1, CELLS // max(1, n))
+    for lo in range(0, n, step):
+        i, j = np.nonzero(x[lo : lo + step] @ x.T >= cosine)
         i += lo
         keep = (i < j) & ((ball[i] < 0) | (ball[i] != ball[j]))
-        pairs_i.append(i[keep])
-        pairs_j.append(j[keep])
-    i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-    if not len(i):
-        return links, root
-    active = np.unique(np.concatenate([i, j]))
-    place = {v: k for k, v in enumerate(active.tolist())}
-    earlier = [[p for p in paths[v].tolist() if p < leaf] for v in active.tolist()]
-    known = {p: k for k, p in enumerate(sorted({p for e in earlier for p in e}))}
-    if known:
-        member = np.zeros((len(active), len(known)), dtype=np.float32)
-        for k, e in enumerate(earlier):
-            member[k, [known[p] for p in e]] = 1
-        a, b = (np.array([place[v] for v in y.tolist()]) for y in (i, j))
-        fresh = np.ones(len(i), dtype=bool)
-        for lo in range(0, len(i), 1 << 16):
-            fresh[lo : lo + (1 << 16)] = ~(member[a[lo : lo + (1 << 16)]] * member[b[lo : lo + (1 << 16)]]).any(1)
-        i, j = i[fresh], j[fresh]
-    np.add.at(links, i, weight[j])
-    np.add.at(links, j, weight[i])
-    from .components import local_roots
-
-    if len(i):
-        nodes, roots = local_roots(i, j)
-        root[nodes] = roots
+        i, j = i[keep], j[keep]
+        if wide:
+            fresh = np.ones(len(i), dtype=bool)
+            some = max(1, CELLS // (wide * wide))
+            for k in range(0, len(i), some):
+                fresh[k : k + some] = ~(before[i[k : k + some], :, None] == before[j[k : k + some], None, :]).any((1, 2))
+            i, j = i[fresh], j[fresh]
+        if len(i):
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            known = np.flatnonzero(root != np.arange(n))
+            nodes, roots = local_roots(np.concatenate([i, known]), np.concatenate([j, root[known]]))
+            root[nodes] = roots
+    root[links == 0] = -1
     return links, root
 
 
 def _unit(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    lists = batch.column(column)
-    x = lists.values.to_numpy(zero_copy_only=False) if lists.offset == 0 else lists.flatten().to_numpy(zero_copy_only=False)
-    x = np.asarray(x, dtype=np.float64).reshape(batch.num_rows, -1)
+    """The batch's vectors, which have one length, at length 1; scaled first, so that no magnitude over- or underflows."""
+    x = np.asarray(batch.column(column).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
+    x = x / np.abs(x).max(1, initial=0)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -161,34 +167,63 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     A link is a pair of rows with cosine >= ``cosine`` in double precision; no pair below it is linked.
     Vectors that are null, empty, zero, or hold nulls, NaNs or infinities link with nothing and
-    keep their id as component, as do vectors of another length than most have.
+    keep their id as component. Vectors link with those of their own length only; each length has its own forest.
     Rows with a null id have 0 links, a null component and are kept. Rows that share an id are
-    separate vectors that count as one node in components. Labels and other columns are ignored;
+    separate vectors, each with its own links, that count as one node in components. Labels and other columns are ignored;
     an empty table gives no rows. Pairs farther apart than the link angle are never compared
     outside a leaf; recall over the forest is measured in the tests.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
+    small_batches(vectors.sparkSession)
     e = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), e.alias("e"))
-    finite = F.col("id").isNotNull() & F.coalesce(F.size("e") > 0, F.lit(False)) & F.coalesce(F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e150)), F.lit(False)) & F.coalesce(F.exists("e", lambda v: F.abs(v) > 1e-150), F.lit(False))
-    good = rows.where(finite)
-    width = good.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if width is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("e") == width.d)
-    nodes = cut(good.groupBy("e").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.col("node")))
+    finite = F.col("id").isNotNull() & F.coalesce(F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0), F.lit(False))
+    # Equal vectors have equal keys of 128 bits, which stand for them wherever the vectors themselves are not needed.
+    rows = rows.select("id", F.when(finite, F.col("e")).alias("e")).select("id", "e", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(seed), "e").alias("h2"))
+    good = rows.where("e IS NOT NULL")
+    seen = good.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"), F.collect_set(F.size("e")).alias("lengths")).first()  # as many as there are lengths
+    unique = seen.rows == seen.ids
+    # A vector is named by its smallest id; where ids repeat any number will do once it is written.
+    name = F.col("id") if unique else F.monotonically_increasing_id()
+    nodes = cut(good.groupBy("h1", "h2", "e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("node", name))
+    edges, links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), nodes.select("node", F.lit(0).cast("long").alias("links")).limit(0)
+    for d in sorted(seen.lengths):
+        own = nodes.where(F.size("e") == d) if len(seen.lengths) > 1 else nodes
+        more_edges, more_links = _one_length(own, d, cosine, trees, spill, leaf, sample, seed)
+        edges, links = edges.union(more_edges), links.union(more_links)
+    if not unique:
+        numbers = good.select("id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
+        first = numbers.groupBy("id").agg(F.min("node").alias("b"))
+        edges = edges.union(numbers.join(first, "id").where("node <> b").select(F.col("node").alias("a"), "b"))
+    parts = components(edges)
+    links = links.groupBy("node").agg(F.sum("links").alias("links"))
+    answer = nodes.join(links, "node", "left").join(parts, "node", "left").select("id", "h1", "h2", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    if not unique:
+        answer = answer.join(answer.groupBy("component").agg(F.min("id").alias("least")), "component").withColumn("component", F.col("least"))
+    answer = answer.select("h1", "h2", "weight", "n_links", "component")
+    # Vectors that many rows repeat, fewer than 1024 of them, are told to every task; the others meet their rows by a shuffle.
+    large = max(1024, seen.rows // 1024)
+    hot = F.broadcast(answer.where(F.col("weight") > large).drop("weight"))
+    slim = good.select("id", "h1", "h2")
+    joined = slim.join(hot, ["h1", "h2"]).unionByName(slim.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(answer.where(F.col("weight") <= large).drop("weight"), ["h1", "h2"]))
+    every = joined.select("id", "n_links", "component").union(rows.where("e IS NULL").select("id", F.lit(0).cast("long"), "id"))
+    return every.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _one_length(nodes: DataFrame, d: int, cosine: float, trees: int, spill: float, leaf: int, sample: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) and links (node, links) between distinct vectors of one length."""
     n = nodes.count()
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(seed))).limit(sample).select("e").toArrow()
-    x = _unit(picked.combine_chunks().to_batches()[0], 0) if picked.num_rows else np.zeros((0, width.d))
-    depth = max(0, min(math.ceil(math.log2(max(1, n / leaf) * 1.5)), int(math.log2(max(1, len(x) / 16)))))
+    picked = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sample).select("e").toArrow()
+    x = _unit(picked.combine_chunks().to_batches()[0], 0) if picked.num_rows else np.zeros((0, d))
+    depth = max(0, math.ceil(math.log2(max(1, n / leaf) * 1.5))) if n > leaf else 0
     balls = find_balls(x, cosine, BALL_SHARE, BALL_LEAST)
-    shared = spark.sparkContext.broadcast((Forest(x, depth, trees, spill, seed), balls))
+    shared = nodes.sparkSession.sparkContext.broadcast((Forest(x, depth, trees, spill, seed), balls))
     inner = inner_cosine(cosine)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, centres = shared.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             v = _unit(batch, 2)
             ball = np.full(len(v), -1)
             if len(centres):
@@ -210,7 +245,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         _, centres = shared.value
         seen: set[int] = set()
         for batch in batches:
-            if len(centres):
+            if len(centres) and batch.num_rows:
                 c = _unit(batch, 0) @ centres.T >= outer
                 c[np.arange(len(c)), np.maximum(batch.column(1).to_numpy(), 0)] &= batch.column(1).to_numpy() < 0
                 seen.update(np.flatnonzero(c.any(0)).tolist())
@@ -233,10 +268,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     in_leaves = compared.select("node", "weight", "e", "ball", "paths", F.explode("paths").alias("leaf"))
     found = cut(in_leaves.groupBy("leaf").applyInArrow(leaf_rows, "node long, links long, root long"))
-    star = placed.join(by_ball, "ball")
-    parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(star.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    links = found.select("node", "links").union(star.select("node", (F.col("total") - F.col("weight")).alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
-    answer = nodes.join(links, "node", "left").join(parts, "node", "left").select("e", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    per_row = rows.join(answer, "e", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return per_row.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    star = placed.join(F.broadcast(by_ball), "ball")  # at most as many as centres
+    edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(star.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return edges, found.select("node", "links").union(star.select("node", (F.col("total") - F.col("weight")).alias("links")))
