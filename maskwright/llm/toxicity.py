@@ -31,9 +31,10 @@ WINDOW, STEP = 40, 30
 D, H, A = 8, 8, 8
 #: Words that get an embedding of their own, hashed character trigrams.
 VOCABULARY, TRIGRAMS = 20_000, 4096
-#: Labelled documents of each label that the model is fitted on at most.
-FIT_ROWS = 1500
-#: Words a worker remembers.
+#: Labelled documents that the model is fitted on at most (toxic ones; three times as many clean ones), and UTF-8 bytes of their texts.
+FIT_ROWS, FIT_BYTES = 1500, 16 << 20
+#: UTF-8 bytes that are scored at once, and words a worker remembers.
+SCORED_BYTES = 1 << 20
 MEMO = 300_000
 #: From this score on a text is predicted toxic.
 THRESHOLD = 0.7
@@ -164,7 +165,7 @@ class Network:
 
 
 class Scorer:
-    """Scores texts; remembers the projections of the words it has seen."""
+    """Scores texts; remembers the input vectors of the words it has seen."""
 
     def __init__(self, net: Network, memo: int = MEMO):
         self.net, self.limit = net, memo
@@ -173,13 +174,7 @@ class Scorer:
     def _reset(self) -> None:
         self.units: dict[str, int] = {}
         self.words: dict[str, int] = {"": 0}
-        self.x = np.zeros((1, 2 * D), np.float32)
-        self._project(self.x, True)
-
-    def _project(self, x: np.ndarray, fresh: bool = False) -> None:
-        p = self.net.p
-        new = [x, x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]]
-        self.tables = new if fresh else [np.concatenate(z) for z in zip(self.tables, new, strict=True)]
+        self.x = np.zeros((4096, 2 * D), np.float32)  # row 0: padding; grows by half
 
     def _learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.units]
@@ -189,12 +184,18 @@ class Scorer:
         words = {u: clean_word(u) for u in new}
         unseen = sorted({w for w in words.values() if w not in self.words})
         if unseen:
-            self.words.update({w: len(self.words) + i for i, w in enumerate(unseen)})
-            self._project(self.net.vectors(unseen))
+            n = len(self.words)
+            self.words.update({w: n + i for i, w in enumerate(unseen)})
+            if n + len(unseen) > len(self.x):
+                self.x = np.concatenate([self.x[:n], np.zeros((max(len(unseen), n // 2), 2 * D), np.float32)])
+            for lo in range(0, len(unseen), 1 << 14):
+                some = unseen[lo : lo + (1 << 14)]
+                self.x[n + lo : n + lo + len(some)] = self.net.vectors(some)
         self.units.update({u: self.words[w] for u, w in words.items()})
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The greatest window logit of each text."""
+        p = self.net.p
         split = [t.split() for t in texts]
         self._learn(set().union(*split) if split else set())
         get = self.units.__getitem__
@@ -207,13 +208,13 @@ class Scorer:
         left = begins[owner + 1] - first
         out = np.full(len(texts), -np.inf)
         span = np.arange(WINDOW)[:, None]
+        x = self.x[flat]
+        xf, xb = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
         for lo in range(0, len(first), 2048):
             hi = lo + 2048
             at = np.minimum(span + first[lo:hi], len(flat) - 1)
             mask = span < left[lo:hi]
-            rows = np.where(mask, flat[at], 0)
-            x, xf, xb = (t[rows] for t in self.tables)
-            logit, _ = self.net.pooled(x, xf, xb, mask[:, :, None].astype(np.float32))
+            logit, _ = self.net.pooled(x[at], xf[at], xb[at], mask[:, :, None].astype(np.float32))
             np.maximum.at(out, owner[lo:hi], logit)
         return out
 
@@ -306,7 +307,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 3, b
             net.p["E"][0] = 0
     own = np.flatnonzero(held)
     scorer = Scorer(net)
-    logits = np.concatenate([scorer.logits([texts[i] for i in own[lo : lo + 200]]) for lo in range(0, len(own), 200)]) if len(own) else np.zeros(0)
+    logits = np.concatenate([np.zeros(0), *(scorer.logits([texts[i] for i in own[lo:hi]]) for lo, hi in chunks([len(texts[i]) for i in own], 1 << 18))])
     if len(own):
         net.calibrate(logits, y_all[own])
     return net
@@ -317,9 +318,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Network:
-    """Train on at most ``fit_rows`` labelled documents of each label, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Network:
+    """Train on at most ``fit_rows`` toxic and three times as many clean labelled documents, of at most ``fit_bytes`` of text, none of them held out.
 
+    The documents come in the order of their ids' hash until either bound is met, with whole texts; a text that alone
+    would pass the bytes left is not taken. Of rows that repeat an id the greatest text counts, of its labels the greater.
     The sample's calibration follows the labels' rates in the whole table, not in the sample.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -329,13 +332,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not picked:
         return train([], [])
     few = docs.sparkSession.createDataFrame([(r.id, r.y) for r in picked], "id long, y int")  # at most 4 * fit_rows rows
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").toArrow()
-    got = sorted({(zlib.crc32(str(i).encode()), i): (t or "", y) for i, t, y in zip(*(rows.column(c).to_pylist() for c in ("id", "text", "y")), strict=True)}.items())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.max("y").alias("y")).collect()
+    chosen, used = [], 0
+    for r in sorted(size, key=lambda r: (zlib.crc32(str(r.id).encode()), r.id)):
+        if used + r.bytes <= fit_bytes:
+            used += r.bytes
+            chosen.append((r.id, r.y))
+    few = docs.sparkSession.createDataFrame(chosen, "id long, y int")
+    rows = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"), F.max("y").alias("y")).toArrow()  # at most fit_bytes
+    got = sorted(((zlib.crc32(str(i).encode()), i, t, y) for i, t, y in zip(*(rows.column(c).to_pylist() for c in ("id", "text", "y")), strict=True)), key=lambda r: r[:2])
     del rows
-    net = train([t for _, (t, _) in got], [y for _, (_, y) in got])
+    net = train([r[2] for r in got], [r[3] for r in got])
     if len(n) == 2 and net.scale:
         share = lambda c: np.log(c[1] / c[0])
-        net.shift += float(share(rates) - share(n))
+        net.shift += float(share(rates) - share({y: max(1, sum(r[3] == y for r in got)) for y in n}))
     return net
 
 
@@ -359,7 +370,7 @@ def toxicity_scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
         scorer = _scorer(shared)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for lo, hi in chunks([len(t) for t in texts]):
+            for lo, hi in chunks([len(t) for t in texts], SCORED_BYTES):
                 s = scorer.scores(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(s, type=pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -374,7 +385,7 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold:
         scorer = _scorer(shared)
         for batch in batches:
             texts = texts_of(batch.column(place))
-            s = np.concatenate([np.zeros(0), *(scorer.scores(texts[lo:hi]) for lo, hi in chunks([len(t) for t in texts]))])
+            s = np.concatenate([np.zeros(0), *(scorer.scores(texts[lo:hi]) for lo, hi in chunks([len(t) for t in texts], SCORED_BYTES))])
             yield batch.filter(pa.array(s < threshold))
 
     return map_batches(docs, kernel, docs.schema, OWNER)
