@@ -16,7 +16,7 @@ connected need not be enumerated; no link that could join two groups is skipped.
    by hash), a bounded number of pairs for each class. Those that pass the size and bitmap bounds are
    verified by intersecting their sorted arrays, and joined to components: this is what
    spares a large group of near copies its pairs. Keys that hold one component only then go.
-   Turns end when one finds no link, or when what is left is few pairs for each row.
+   After two, turns end when one leaves most pairs of different components, or what is left is few pairs for each row.
 4. What is left to find are links between different components. Keys that hold two or more
    components meet in tiles: (key, size band, salt). Inside a tile the same bounds hold, with
    bitmaps that are longer in the bands of larger sets, and the pairs that pass are verified. A
@@ -56,8 +56,8 @@ SLICE, SLICE_SHINGLES = 4096, 4 << 20
 BUCKET_ENTRIES = 1 << 19
 #: Words of 64 bits in the bitmap that travels with a class, and at most in the one that travels with a tile's rows.
 BITMAP, TILE_BITMAP = 8, 64
-#: Hubs that a node is held against in the first turn and in later ones, the most turns, and pairs for each row that are left to tiles before that.
-HUBS, TURNS, EASY = (1, 8), 6, 32
+#: Hubs that a node is held against in the first turn and in later ones, the most turns, pairs for each row that are left to tiles before that, and the share of pairs that a turn has to leave at most.
+HUBS, TURNS, EASY, HELPED = (1, 8), 6, 32, 0.75
 #: Rows of a key that one salt of a tile holds.
 TILE = 512
 
@@ -353,10 +353,11 @@ def _hub_pairs(entries: DataFrame, nodes: DataFrame, percent: int, turn: int, mo
     return pairs.join(side("a"), "a").join(side("b"), "b").where(could_link("_a", "_b", percent)).select("a", "b")
 
 
-def _easy(entries: DataFrame) -> bool:
-    """Whether tiles would hold few pairs for each row."""
-    got = entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).agg(F.sum("rows").alias("rows"), F.sum(F.col("rows").cast("double") * (F.col("rows") - 1) / 2).alias("pairs")).first()
-    return (got.pairs or 0) <= EASY * (got.rows or 0)
+def _open_pairs(entries: DataFrame) -> tuple[int, float]:
+    """Rows, and pairs of different components under one key."""
+    parts = entries.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    got = parts.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+    return int(got.rows or 0), got.pairs or 0.0
 
 
 def _tiled(entries: DataFrame, nodes: DataFrame, percent: int, tile: int) -> DataFrame:
@@ -429,17 +430,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(docs.sparkSession)
     ids = member.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi")
     same_id = member.join(ids.select("id", "b"), "id").where("node <> b").select(F.col("node").alias("a"), "b")
-    links, left, known = same_id, entries.withColumn("component", F.col("node")), None
+    links, left, pairs = same_id, entries.withColumn("component", F.col("node")), float("inf")
     for turn in range(TURNS):
         new = _verified(_hub_pairs(left, nodes, percent, turn, HUBS[min(turn, len(HUBS) - 1)]), docs, nodes, k, table, percent, unique)
         links = cut(links.union(new))
         parts = components(links)
         left = _open(left, parts)
         release(docs.sparkSession)
-        known, before = links.count(), known
-        if left.isEmpty() or turn and (known == before or _easy(left)):
+        (rows, pairs), before = _open_pairs(left), pairs
+        if not pairs or turn and (pairs <= EASY * rows or pairs > HELPED * before):
             break
-    if not left.isEmpty():
+    if pairs:
         parts = components(links.union(_verified(_tiled(left, nodes, percent, tile), docs, nodes, k, table, percent, unique)))
     if unique:
         named = nodes.join(parts, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
