@@ -29,16 +29,31 @@ def value_key(label: Column, value: Column) -> Column:
     return F.when(label.isin(*EXACT), value).otherwise(canonical_key(value))
 
 
-def with_placeholders(entities: Column) -> Column:
-    """Entities with ``placeholder``: numbered per label by first occurrence of the value, equal values share one."""
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def with_placeholders(entities: Column, text: Column | None = None) -> Column:
+    """Entities with ``placeholder``: numbered per label by first occurrence of the value, equal values share one.
+
+    Where the text itself holds placeholders of a label, its numbers go on after the greatest of them, so that a
+    literal one is never taken for a value's.
+    """
     keyed = F.transform(entities, lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"), value_key(e["label"], e["value"]).alias("key")))
-    firsts = F.array_distinct(F.transform(keyed, lambda e: F.struct(e["label"].alias("label"), e["key"].alias("key"))))
+    literal = F.array().cast("array<string>") if text is None else F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 
-    def number(e: Column) -> Column:
-        own = F.filter(firsts, lambda f: f["label"] == e["label"])
-        return F.array_position(F.transform(own, lambda f: f["key"]), e["key"])
+    def placed(k: Column, firsts: Column, said: Column) -> Column:
+        def number(e: Column) -> Column:
+            own = F.filter(firsts, lambda f: f["label"] == e["label"])
+            taken = F.filter(said, lambda m: F.regexp_extract(m, r"^\[(.*)_[0-9]+\]$", 1) == e["label"])
+            top = F.array_max(F.transform(taken, lambda m: F.regexp_extract(m, r"_([0-9]+)\]$", 1).try_cast("long")))
+            return F.array_position(F.transform(own, lambda f: f["key"]), e["key"]) + F.coalesce(top, F.lit(0))
 
-    return F.transform(keyed, lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"), F.concat(F.lit("["), e["label"], F.lit("_"), number(e).cast("string"), F.lit("]")).alias("placeholder")))
+        return F.transform(k, lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"), e["value"].alias("value"), F.concat(F.lit("["), e["label"], F.lit("_"), number(e).cast("string"), F.lit("]")).alias("placeholder")))
+
+    distinct = lambda k: F.array_distinct(F.transform(k, lambda e: F.struct(e["label"].alias("label"), e["key"].alias("key"))))
+    return let(keyed, lambda k: let(distinct(k), lambda firsts: let(literal, lambda said: placed(k, firsts, said))))
 
 
 def rewrite(text: Column, placed: Column) -> Column:
@@ -54,7 +69,7 @@ def anonymise(detected: DataFrame, text_col: str = "text", excluded: tuple[str,
     Excluded labels go before user terms count: an entity whose source is ``custom`` always stays.
     """
     kept = F.filter("entities", lambda e: (e["source"] == "custom") | ~e["label"].isin(*excluded)) if excluded else F.col("entities")
-    out = detected.withColumn("entities", merge_spans(kept)).withColumn("entities", with_placeholders(F.col("entities")))
+    out = detected.withColumn("entities", merge_spans(kept)).withColumn("entities", with_placeholders(F.col("entities"), F.col(text_col)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     distinct = F.array_distinct(F.transform("entities", lambda e: e["placeholder"]))
     first = lambda p: F.element_at(F.filter("entities", lambda e: e["placeholder"] == p), 1)["value"]
@@ -73,12 +88,20 @@ def unknown_placeholders(text: Column, mapping: Column) -> Column:
 
 
 def residual(text: Column, value: Column) -> Column:
-    """Whether a value is still in a text, by plain search on canonical forms with word edges: independent of the patterns."""
+    """Whether a value is still in a text, by plain search on canonical forms: every occurrence is looked at, independent of the patterns.
+
+    An occurrence counts if no word character stands beside it, nor, where the value's edge is a digit, a decimal
+    mark with another digit. Null and empty values are in no text.
+    """
     t, v = canonical_key(text), canonical_key(value)
-    at = F.instr(t, v)
-    before, after = F.substring(t, at - 1, F.lit(1)), F.substring(t, at + F.length(v), F.lit(1))
-    edge = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"(?U)[\w]")
-    return (at > 0) & ((at == 1) | edge(before)) & edge(after)
+    parts = F.split(t, F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    word, digit = r"(?U)[\w]", "[0-9]"
+    # Occurrences may overlap each other's edges, so a part that is empty stands for the value itself.
+    left = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.when((p == "") & (i > 0), v).otherwise(p))
+    right = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.when((p == "") & (i < F.size(parts) - 2), v).otherwise(p))
+    free_left = lambda p: ~F.right(p, F.lit(1)).rlike(word) & ~(F.left(v, F.lit(1)).rlike(digit) & p.rlike("[0-9][.,]$"))
+    free_right = lambda p: ~F.left(p, F.lit(1)).rlike(word) & ~(F.right(v, F.lit(1)).rlike(digit) & p.rlike("^[.,][0-9]"))
+    return F.coalesce((F.length(v) > 0) & F.exists(F.zip_with(left, right, lambda p, q: free_left(p) & free_right(q)), lambda x: x), F.lit(False))
 
 
 def by_label(entities: DataFrame) -> DataFrame:

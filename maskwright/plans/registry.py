@@ -395,7 +395,7 @@ def span_overlaps(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity + 3 AS BIGINT) AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), i AS (SELECT *, sum(CASE WHEN s > coalesce(reach, -1) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT k AS doc_id, 'Q' AS label, min(s) AS start, max(e) AS end FROM i GROUP BY k, island"
+    "WITH s AS (SELECT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity + 3 AS BIGINT) AS e FROM lineitem), m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), i AS (SELECT *, sum(CASE WHEN s > coalesce(reach, -1) THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS island FROM m) SELECT k AS doc_id, 'Q' AS label, min(s) AS start, max(e) AS end FROM i GROUP BY k, island"
 )
 def merged_islands(spark, sf_dir):
     """G1's coalescing step."""
