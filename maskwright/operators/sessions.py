@@ -62,7 +62,7 @@ def expired(rows: DataFrame, kind: str, stamp: str, now: Column, minutes: dict[s
 def clamped(value: Column, low: float, high: float) -> Column:
     """A parameter kept in its range; what is no number is dropped (null)."""
     number = value.try_cast("double")
-    return F.when(F.isnan(number), None).otherwise(F.least(F.greatest(number, F.lit(float(low))), F.lit(float(high))))
+    return F.when(number.isNotNull() & ~F.isnan(number), F.least(F.greatest(number, F.lit(float(low))), F.lit(float(high))))
 
 
 def size_text(n: Column) -> Column:

@@ -157,7 +157,7 @@ def expired_rows(spark, sf_dir):
     return sessions.expired(events.crossJoin(F.broadcast(newest)), "event_type", "ts", F.col("now"), {"click": 30, "view": 1440}).select("event_id")
 
 
-@query("SELECT p_partkey, least(greatest(try_cast(p_brand AS DOUBLE), 0.0), 2.0) AS word, least(greatest(CAST(p_size AS DOUBLE), 5.0), 30.0) AS size FROM part")
+@query("SELECT p_partkey, CASE WHEN try_cast(p_brand AS DOUBLE) IS NOT NULL THEN least(greatest(try_cast(p_brand AS DOUBLE), 0.0), 2.0) END AS word, least(greatest(CAST(p_size AS DOUBLE), 5.0), 30.0) AS size FROM part")
 def clamped_parameters(spark, sf_dir):
     """Parameters kept in range, words dropped."""
     return read(spark, sf_dir, "part").select("p_partkey", sessions.clamped(F.col("p_brand"), 0, 2).alias("word"), sessions.clamped(F.col("p_size").cast("string"), 5, 30).alias("size"))
