@@ -51,8 +51,8 @@ def test_anonymise_and_decode(spark):
     text = "a@example.org, 4111111111111111, A@example.org, a@example.org [EMAIL_1]"
     out = resolve.anonymise(detect.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"), labels=("EMAIL", "CREDITCARDNUMBER")))
     r = out.select("*", resolve.decode(F.col("anonymized_text"), F.col("mapping")).alias("back")).first()
-    assert r.anonymized_text == "[EMAIL_1], [CREDITCARDNUMBER_1], [EMAIL_2], [EMAIL_1] [EMAIL_1]"
-    assert r.n_entities == 4 and r.n_unique == 3 and r.back.startswith(text[:-9])
+    assert r.anonymized_text == "[EMAIL_2], [CREDITCARDNUMBER_1], [EMAIL_3], [EMAIL_2] [EMAIL_1]"
+    assert r.n_entities == 4 and r.n_unique == 3 and r.back == text
 
 
 def test_custom_terms_survive_exclusion(spark):
