@@ -114,6 +114,19 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_i
 FROM documents LEFT JOIN size ON size.id = doc_id LEFT JOIN part ON part.id = doc_id"""
 
 
+def _pairing_rounds_sql() -> str:
+    """Round after round, what has no pair yet is paired within wider runs of ids, until one run holds all ids."""
+    bits, steps = chat_pairs.BUCKET.bit_length() - 1, ["r0 AS (SELECT conv_id, turns[1].role AS role, turns[1].text AS text, CAST(NULL AS BIGINT) AS head FROM talks)"]
+    for k in range(1, 63 // bits + 2):
+        run = f"conv_id >> {bits}" if k == 1 else "0" if bits * k > 63 else f"CASE WHEN (high >> {bits * (k - 1)}) - (low >> {bits * (k - 1)}) < {chat_pairs.BUCKET} THEN 0 ELSE conv_id >> {bits * k} END"
+        steps.append(
+            f"r{k} AS (SELECT conv_id, role, text, CASE WHEN head IS NOT NULL THEN head WHEN row_number() OVER w % 2 = 0 THEN lag(conv_id) OVER w WHEN lead(conv_id) OVER w IS NOT NULL THEN conv_id END AS head "
+            f"FROM r{k - 1}, span WINDOW w AS (PARTITION BY head IS NULL, role, text, {run} ORDER BY conv_id))"
+        )
+    steps.append(f"paired_ids AS (SELECT min(conv_id) AS chosen, CASE WHEN count(*) > 1 THEN max(conv_id) END AS rejected FROM r{k} GROUP BY coalesce(head, conv_id))")
+    return ",\n".join(steps)
+
+
 def _chat_sql() -> str:
     text = "replace(t.text, '<|im_', '<| im_')"
     render = lambda turns: f"array_to_string(list_transform({turns}, lambda t: '<|im_start|>' || t.role || chr(10) || {text} || '<|im_end|>' || chr(10)), '')"
@@ -124,15 +137,14 @@ def _chat_sql() -> str:
         f"lambda i: CAST(CAST({before(turns)} + 13 + length({turns}[i].role) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST({before(turns)} + 13 + length({turns}[i].role) + length(replace({turns}[i].text, '<|im_', '<| im_')) + 10 AS BIGINT) AS VARCHAR)), ',')"
     )
     return f"""WITH talks AS (
-  SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS turns
+  SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-ranked AS (
-  SELECT *, row_number() OVER w AS rank, lead(conv_id) OVER w AS next_id, lead(turns) OVER w AS next_turns FROM talks
-  WINDOW w AS (PARTITION BY turns[1].role, turns[1].text, conv_id // {chat_pairs.BUCKET} ORDER BY conv_id)),
+span AS (SELECT min(conv_id) AS low, max(conv_id) AS high FROM talks),
+{_pairing_rounds_sql()},
 paired AS (
-  SELECT conv_id AS chosen_id, coalesce(next_id, conv_id) AS rejected_id, turns AS a,
-         coalesce(next_turns, turns[:coalesce(list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) - 1, len(turns))]) AS b
-  FROM ranked WHERE rank % 2 = 1),
+  SELECT x.conv_id AS chosen_id, coalesce(y.conv_id, x.conv_id) AS rejected_id, x.turns AS a,
+         coalesce(y.turns, x.turns[:coalesce(list_max(list_filter(range(1, len(x.turns) + 1), lambda i: x.turns[i].role = 'assistant')) - 1, len(x.turns))]) AS b
+  FROM paired_ids JOIN talks x ON x.conv_id = chosen LEFT JOIN talks y ON y.conv_id = rejected),
 shared AS (
   SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: i > len(a) OR i > len(b) OR a[i].role <> b[i].role OR a[i].text <> b[i].text)) - 1, len(a)) AS n FROM paired),
 parts AS (SELECT chosen_id, rejected_id, n, a[:n] AS p, a[n + 1:] AS c, b[n + 1:] AS r FROM shared)

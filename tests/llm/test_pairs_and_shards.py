@@ -1,6 +1,10 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+import pytest
+
 from maskwright.llm import chat_pairs, queries
 
 
@@ -36,3 +40,16 @@ def test_written_shards_hold_every_record(spark, tmp_path, monkeypatch):
     for r in got:
         by[r.shard].append(r.slot)
     assert sorted(by) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+@pytest.mark.parametrize("low", [-70_000, 0, 4_000, 2**62 - 1])
+def test_sql_pairs_across_runs(spark, tmp_path, low):
+    r = random.Random(low)
+    ids = sorted({low + r.randrange(10 ** r.randrange(1, 6)) for _ in range(300)})
+    turns = [(i, k, role, t) for i in ids for k, role, t in ((0, "user", f"q{r.randrange(4)}"), (1, "assistant", r.choice("ab")), (2, None, None), (2, None, None), (3, "assistant", "<|im_end|>"))]
+    spark.createDataFrame([*turns, (None, 0, "user", "q0")], "conv_id long, turn long, role string, text string").write.parquet(path := str(tmp_path / "conversations.parquet"))
+    got = [tuple(x) for x in queries.op8_chat_pairs(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(queries.oracle()["op8_chat_pairs"]).fetchall()
+    assert Counter(got) == Counter(want) and len(got) < len(ids) and any(a // 64 != b // 64 for a, b, *_ in got)
