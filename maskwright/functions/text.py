@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -69,6 +69,15 @@ def spans(text: Column, pattern: str | Column, matches: Column | None = None) ->
     return F.when(F.size(m) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)"))
 
 
+def exploded(df: DataFrame, column: str, *keep: str, name: str = "e") -> DataFrame:
+    """One row per element of an array column of structs, named ``name``, beside the columns of ``keep``.
+
+    A plain explode lets Catalyst filter on the array's size first, below the projection that makes the array: a dear
+    expression is then evaluated once for the filter and once more for the rows. The outer one is not rewritten so.
+    """
+    return df.select(*keep, F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def html_to_text(html: Column) -> Column:
     """Visible text of a page: scripts, styles and comments go, blocks end lines, cells are parted by tabs, basic entities decoded."""
     c = F.regexp_replace(html, r"(?is)<(script|style|template|canvas|iframe|video|audio)\b.*?</\1\s*>", "")

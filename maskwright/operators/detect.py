@@ -21,11 +21,16 @@ ENTITY = "array<struct<label:string,start:int,end:int,value:string,validated:boo
 ALWAYS = lambda v: F.lit(True)
 
 
+#: Six digits with one separator at most between two.
+SIX_DIGITS = r"[0-9](?:[ .\-/\x{A0}\x{202F}]?[0-9]){5}"
+
+
 @dataclass(frozen=True)
 class Rule:
     """How one kind of value is found.
 
-    needs_cue: accepted only behind ``cue``; weak_cue: a failing check is kept, unvalidated, behind ``cue``.
+    needs_cue: accepted only behind ``cue``; keep_unchecked: a failing check is kept, unvalidated, behind ``cue``;
+    digits: every match holds what SIX_DIGITS asks for, so all such rules are passed over together.
     """
 
     label: str
@@ -38,6 +43,7 @@ class Rule:
     trigger: str | None = None
     priority: int = 50
     window: int = 48
+    digits: bool = False
 
 
 def _octets(v: Column) -> Column:
@@ -87,7 +93,7 @@ def _cue(words: str) -> str:
 
 def _national(label: str, pattern: str, words: str, check: Callable[[Column], Column] = ALWAYS, priority: int = 63) -> Rule:
     """A national number that counts behind its cue only."""
-    return Rule(label, rf"(?i)(?<!\w)(?:{pattern})(?!\w)", check, cue=_cue(words), needs_cue=True, priority=priority, window=128)
+    return Rule(label, rf"(?i)(?<!\w)(?:{pattern})(?!\w)", check, cue=_cue(words), needs_cue=True, priority=priority, window=128, digits=True)
 
 
 _S = r"[ .\-\x{A0}\x{202F}]?"
@@ -167,7 +173,7 @@ VAT: dict[str, tuple[str, Callable[[Column], Column] | None]] = {
 _VAT_CUE = _cue(r"p(?:artita)?\.?\s?iva|vat(?:\s+(?:id|reg(?:istration)?))?|ust-?id(?:-?nr)?|tva|iva|btw|mwst|nif|uid")
 #: With a blank behind the country a number needs its check digit or a cue.
 VAT_RULES: tuple[Rule, ...] = (
-    *(Rule("PIVA", rf"\b{cc}[ .\-]?(?:{body})(?![0-9A-Za-z])", check, priority=71) for cc, (body, check) in VAT.items() if check),
+    *(Rule("PIVA", rf"\b{cc}[ .\-]?(?:{body})(?![0-9A-Za-z])", check, priority=71, digits=cc != "GB") for cc, (body, check) in VAT.items() if check),
     Rule("PIVA", r"\b(?:" + "|".join(rf"{cc}[ .\-]?(?:{body})" for cc, (body, check) in VAT.items() if not check) + ")(?![0-9A-Za-z])", lambda v: ~v.rlike(r"^[A-Z]+\s"), cue=_VAT_CUE, keep_unchecked=True, priority=54),
 )
 
@@ -176,34 +182,34 @@ RULES: tuple[Rule, ...] = (
     Rule("EMAIL", r"(?U)[\w!#$%&'*+/=?^`{|}~.\-]+@[\p{L}0-9](?:[\p{L}0-9\-]*[\p{L}0-9])?(?:\.[\p{L}0-9](?:[\p{L}0-9\-]*[\p{L}0-9])?)*\.\p{L}{2,24}(?![\p{L}0-9])", _email, trigger="@", priority=90),
     Rule("URL", r"(?i)\b(?:https?|ftp)://[^\s<>\"']*[^\s<>\"'.,;:!?)\]]|\bwww\.[a-z0-9\-]+(?:\.[a-z0-9\-]+)+[^\s<>\"'.,;:!?)\]]*", trigger="://|www\\.", priority=85),
     Rule("URL", r"(?<![\w@.\-/])[a-z0-9][a-z0-9\-]{2,}(?:\.[a-z0-9\-]+)*\.(?:" + "|".join(TLDS) + r")(?:/[^\s<>\"']*)?(?![\w@.\-])", trigger="\\.(?:" + "|".join(TLDS) + ")", priority=40),
-    Rule("IBAN", r"(?i)\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", cs.iban, priority=88),
-    Rule("CREDITCARDNUMBER", r"(?<![0-9.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\-])", lambda v: cs.luhn(v) & ~cs.digits(v).rlike("^89[0-9]{17,18}$"), trigger="[0-9]", priority=80),
+    Rule("IBAN", r"(?i)\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", cs.iban, trigger=r"(?i)[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", priority=88),
+    Rule("CREDITCARDNUMBER", r"(?<![0-9.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9\-])", lambda v: cs.luhn(v) & ~cs.digits(v).rlike("^89[0-9]{17,18}$"), trigger="[0-9]", priority=80, digits=True),
     Rule("CF", r"(?i)\b[A-Z]{6}[0-9LMNPQRSTUV]{2}[ABCDEHLMPRST][0-9LMNPQRSTUV]{2}[A-Z][0-9LMNPQRSTUV]{3}[A-Z]\b", cs.tax_code_it, cue=r"(?i)(?:codice fiscale|c\.?f\.?)\W*$", keep_unchecked=True, priority=86),
-    Rule("PIVA", r"(?<![0-9A-Za-z])(?:IT ?)?[0-9]{11}(?![0-9])", cs.luhn, cue=r"(?i)(?:p(?:artita)?\.? ?iva|vat)\W*$", trigger="[0-9]{11}", priority=70),
-    Rule("PIVA", r"\bDE ?[0-9]{9}\b", lambda v: _de_vat(v), cue=r"(?i)vat\W*$|ust-?id\W*$", priority=72),
-    Rule("PIVA", r"\bNL ?[0-9]{9}B[0-9]{2}\b", lambda v: cs.mod11(F.substring(cs.digits(v), 1, 9), [9, 8, 7, 6, 5, 4, 3, 2, -1]) | (cs.mod97(F.regexp_replace(v, " ", "")) == 1), priority=72),
-    Rule("PIVA", r"\bBE ?[01][0-9]{9}\b", lambda v: cs.tail_mod97(v, 10), priority=72),
-    Rule("PIVA", r"\bPT ?[0-9]{9}\b", lambda v: cs.mod11(v, [9, 8, 7, 6, 5, 4, 3, 2, 1]) | (cs.weighted(F.substring(cs.digits(v), 1, 8), [9, 8, 7, 6, 5, 4, 3, 2]) % 11 < 2) & (F.substring(cs.digits(v), 9, 1) == "0"), priority=72),
-    Rule("AMOUNT", r"(?i)(?<![\w.,])(?:€|\$|£|eur|usd|gbp|chf)\s?[0-9][0-9.,']*[0-9]|(?<![\w.,])(?:€|\$|£|eur|usd|gbp|chf)\s?[0-9](?![0-9.,])|(?<![\w.,])[0-9](?:[0-9.,']*[0-9])?\s?(?:€|\$|£|(?:euro?|usd|gbp|chf|dollars)\b)", _amount, priority=55),
-    Rule("DATE", r"(?<![0-9/.\-])(?:[0-9]{1,2}([/.\-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}([/.\-])[0-9]{1,2}\2[0-9]{1,2})(?:[ T][0-2]?[0-9]:[0-5][0-9](?::[0-5][0-9])?)?(?![0-9/\-])", _real_date, priority=45),
-    Rule("DATE", rf"(?iU)\b(?:[0-3]?[0-9](?:st|nd|rd|th|º|\.)?\s+(?:de\s+)?(?:{_MONTH})\s+(?:de\s+)?(?:19|20)[0-9]{{2}}|(?:{_MONTH})\s+[0-3]?[0-9](?:st|nd|rd|th)?,?\s+(?:19|20)[0-9]{{2}})\b", lambda v: F.regexp_extract(v, r"(?<![0-9])([0-9]{1,2})(?![0-9])", 1).cast("int").between(1, 31), priority=45),
+    Rule("PIVA", r"(?<![0-9A-Za-z])(?:IT ?)?[0-9]{11}(?![0-9])", cs.luhn, cue=r"(?i)(?:p(?:artita)?\.? ?iva|vat)\W*$", trigger="[0-9]{11}", priority=70, digits=True),
+    Rule("PIVA", r"\bDE ?[0-9]{9}\b", lambda v: _de_vat(v), cue=r"(?i)vat\W*$|ust-?id\W*$", priority=72, digits=True),
+    Rule("PIVA", r"\bNL ?[0-9]{9}B[0-9]{2}\b", lambda v: cs.mod11(F.substring(cs.digits(v), 1, 9), [9, 8, 7, 6, 5, 4, 3, 2, -1]) | (cs.mod97(F.regexp_replace(v, " ", "")) == 1), priority=72, digits=True),
+    Rule("PIVA", r"\bBE ?[01][0-9]{9}\b", lambda v: cs.tail_mod97(v, 10), priority=72, digits=True),
+    Rule("PIVA", r"\bPT ?[0-9]{9}\b", lambda v: cs.mod11(v, [9, 8, 7, 6, 5, 4, 3, 2, 1]) | (cs.weighted(F.substring(cs.digits(v), 1, 8), [9, 8, 7, 6, 5, 4, 3, 2]) % 11 < 2) & (F.substring(cs.digits(v), 9, 1) == "0"), priority=72, digits=True),
+    Rule("AMOUNT", r"(?i)(?<![\w.,])(?:€|\$|£|eur|usd|gbp|chf)\s?[0-9][0-9.,']*[0-9]|(?<![\w.,])(?:€|\$|£|eur|usd|gbp|chf)\s?[0-9](?![0-9.,])|(?<![\w.,])[0-9](?:[0-9.,']*[0-9])?\s?(?:€|\$|£|(?:euro?|usd|gbp|chf|dollars)\b)", _amount, trigger=r"(?i)[€$£]|eur|usd|gbp|chf|dollars", priority=55),
+    Rule("DATE", r"(?<![0-9/.\-])(?:[0-9]{1,2}([/.\-])[0-9]{1,2}\1[0-9]{4}|[0-9]{4}([/.\-])[0-9]{1,2}\2[0-9]{1,2})(?:[ T][0-2]?[0-9]:[0-5][0-9](?::[0-5][0-9])?)?(?![0-9/\-])", _real_date, trigger=r"[0-9]{4}", priority=45, digits=True),
+    Rule("DATE", rf"(?iU)\b(?:[0-3]?[0-9](?:st|nd|rd|th|º|\.)?\s+(?:de\s+)?(?:{_MONTH})\s+(?:de\s+)?(?:19|20)[0-9]{{2}}|(?:{_MONTH})\s+[0-3]?[0-9](?:st|nd|rd|th)?,?\s+(?:19|20)[0-9]{{2}})\b", lambda v: F.regexp_extract(v, r"(?<![0-9])([0-9]{1,2})(?![0-9])", 1).cast("int").between(1, 31), trigger=r"(?:19|20)[0-9]{2}", priority=45),
     Rule("TARGA", r"(?<![A-Za-z0-9])[A-HJ-NPR-TV-Z]{2} ?[0-9]{3} ?[A-HJ-NPR-TV-Z]{2}(?![A-Za-z0-9])", priority=42),
     Rule("DOCID", r"(?i)\b(?:prot(?:ocollo)?|r\.?g\.?|rif|ref|case|docket)\.?\s*(?:n(?:o|r|umero)?\.?°?\s*)?[0-9]{1,7}[/\-][0-9]{2,4}\b", priority=44),
-    Rule("US_SSN", r"(?<![0-9\-])(?!000|666|9)[0-9]{3}[- ](?!00)[0-9]{2}[- ](?!0000)[0-9]{4}(?![0-9\-])", priority=65),
-    Rule("FR_NIR", r"(?<![0-9])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]) ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])", lambda v: cs.tail_mod97(v, 15), trigger="[12]", priority=78),
-    Rule("FR_SIRET", r"(?<![0-9])[0-9]{3} ?[0-9]{3} ?[0-9]{3} ?[0-9]{5}(?![0-9])", cs.luhn, cue=r"(?i)siret\W*$", needs_cue=True, trigger="(?i)siret", priority=82),
-    Rule("FR_SIREN", r"(?<![0-9])[0-9]{3} ?[0-9]{3} ?[0-9]{3}(?![0-9])", cs.luhn, cue=r"(?i)siren\W*$", needs_cue=True, trigger="(?i)siren", priority=62),
-    Rule("DE_STEUER_ID", r"(?<![0-9])[1-9][0-9] ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}(?![0-9])", cs.steuer_id, cue=r"(?i)(?:steuer-?id|idnr|identifikationsnummer)\W*$", needs_cue=True, trigger="(?i)steuer|id", priority=76),
-    Rule("ES_NIF", r"(?i)(?<![A-Z0-9])[XYZ0-9][0-9]{7}-?[A-Z](?![A-Z0-9])", cs.spanish_letter, priority=66),
-    Rule("NL_BSN", r"(?<![0-9])[0-9]{9}(?![0-9])", lambda v: cs.mod11(v, [9, 8, 7, 6, 5, 4, 3, 2, -1]), cue=r"(?i)(?:bsn|burgerservicenummer)\W*$", needs_cue=True, trigger="(?i)bsn|burger", priority=64),
-    Rule("UK_NINO", r"\b(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b", priority=66),
-    Rule("CH_AHV", r"\b756\.?[0-9]{4}\.?[0-9]{4}\.?[0-9]{2}\b", lambda v: cs.weighted(cs.digits(v), [1, 3] * 6 + [1]) % 10 == 0, priority=84),
-    Rule("BE_NATIONAL", r"(?<![0-9])[0-9]{2}\.?[0-1][0-9]\.?[0-3][0-9]-?[0-9]{3}\.?[0-9]{2}(?![0-9])", lambda v: cs.tail_mod97(v, 11), cue=r"(?i)(?:rijksregister|registre national|nrn)\W*(?:nummer)?\W*$", needs_cue=True, trigger="(?i)rijks|registre|nrn", priority=74),
+    Rule("US_SSN", r"(?<![0-9\-])(?!000|666|9)[0-9]{3}[- ](?!00)[0-9]{2}[- ](?!0000)[0-9]{4}(?![0-9\-])", trigger=r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}", priority=65, digits=True),
+    Rule("FR_NIR", r"(?<![0-9])[12] ?[0-9]{2} ?(?:0[1-9]|1[0-2]) ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])", lambda v: cs.tail_mod97(v, 15), trigger="[12]", priority=78, digits=True),
+    Rule("FR_SIRET", r"(?<![0-9])[0-9]{3} ?[0-9]{3} ?[0-9]{3} ?[0-9]{5}(?![0-9])", cs.luhn, cue=r"(?i)siret\W*$", needs_cue=True, trigger="(?i)siret", priority=82, digits=True),
+    Rule("FR_SIREN", r"(?<![0-9])[0-9]{3} ?[0-9]{3} ?[0-9]{3}(?![0-9])", cs.luhn, cue=r"(?i)siren\W*$", needs_cue=True, trigger="(?i)siren", priority=62, digits=True),
+    Rule("DE_STEUER_ID", r"(?<![0-9])[1-9][0-9] ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}(?![0-9])", cs.steuer_id, cue=r"(?i)(?:steuer-?id|idnr|identifikationsnummer)\W*$", needs_cue=True, trigger="(?i)steuer|id", priority=76, digits=True),
+    Rule("ES_NIF", r"(?i)(?<![A-Z0-9])[XYZ0-9][0-9]{7}-?[A-Z](?![A-Z0-9])", cs.spanish_letter, priority=66, digits=True),
+    Rule("NL_BSN", r"(?<![0-9])[0-9]{9}(?![0-9])", lambda v: cs.mod11(v, [9, 8, 7, 6, 5, 4, 3, 2, -1]), cue=r"(?i)(?:bsn|burgerservicenummer)\W*$", needs_cue=True, trigger="(?i)bsn|burger", priority=64, digits=True),
+    Rule("UK_NINO", r"\b(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D]\b", trigger=r"[A-Z]{2} ?[0-9]{2} ?[0-9]{2}", priority=66),
+    Rule("CH_AHV", r"\b756\.?[0-9]{4}\.?[0-9]{4}\.?[0-9]{2}\b", lambda v: cs.weighted(cs.digits(v), [1, 3] * 6 + [1]) % 10 == 0, priority=84, digits=True),
+    Rule("BE_NATIONAL", r"(?<![0-9])[0-9]{2}\.?[0-1][0-9]\.?[0-3][0-9]-?[0-9]{3}\.?[0-9]{2}(?![0-9])", lambda v: cs.tail_mod97(v, 11), cue=r"(?i)(?:rijksregister|registre national|nrn)\W*(?:nummer)?\W*$", needs_cue=True, trigger="(?i)rijks|registre|nrn", priority=74, digits=True),
     Rule("TELEPHONENUM", r"(?<![\w+])(?:\+|00)[1-9][0-9]{0,2}[ \-./]?(?:\([0-9]{1,4}\)[ \-./]?)?[0-9]+(?:[ \-./][0-9]+)*(?![0-9])", _compact_digits(7, 15), trigger="\\+|00", priority=60),
     Rule("TELEPHONENUM", r"(?<![\w+])(?:\([0-9]{2,5}\)[ \-]?)?[0-9]{2,5}(?:[ \-./][0-9]{2,5}){1,4}(?![\w\-])", _compact_digits(7, 12), cue=r"(?i)(?:tel(?:efono?|ephone|\.)?|phone|mobile|cell(?:ulare)?|fax|call|t[ée]l)\W*$", needs_cue=True, trigger="(?i)tel|phone|mobile|cell|fax|call|tél", priority=58),
     Rule("IP_ADDRESS", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?:/(?:3[0-2]|[12]?[0-9]))?(?![0-9.]*[0-9])", _octets, veto=r"(?i)(?:version|ver|rel(?:ease)?|build|v)\.?\s*$", trigger="[0-9]\\.[0-9]", priority=83, window=24),
     Rule("IP_ADDRESS", r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])|(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}(?![0-9a-f:])", lambda v: F.size(F.split(v, ":")) <= 8, trigger=":", priority=83),
-    Rule("MAC_ADDRESS", r"(?i)(?<![0-9a-f:\-])[0-9a-f]{2}([:\-])(?:[0-9a-f]{2}\1){4}[0-9a-f]{2}(?![0-9a-f:\-])|(?<![0-9a-f.])[0-9a-f]{4}\.[0-9a-f]{4}\.[0-9a-f]{4}(?![0-9a-f.])", lambda v: ~F.regexp_replace(v, "[^0-9A-Fa-f]", "").rlike("^(0+|[fF]+)$"), priority=87),
+    Rule("MAC_ADDRESS", r"(?i)(?<![0-9a-f:\-])[0-9a-f]{2}([:\-])(?:[0-9a-f]{2}\1){4}[0-9a-f]{2}(?![0-9a-f:\-])|(?<![0-9a-f.])[0-9a-f]{4}\.[0-9a-f]{4}\.[0-9a-f]{4}(?![0-9a-f.])", lambda v: ~F.regexp_replace(v, "[^0-9A-Fa-f]", "").rlike("^(0+|[fF]+)$"), trigger=r"(?i)[0-9a-f]{2}[:\-][0-9a-f]{2}[:\-]|[0-9a-f]{4}\.[0-9a-f]{4}\.", priority=87),
     Rule("PASSWORD_HASH", r"\$(?:2[aby]\$[0-9]{2}\$[./A-Za-z0-9]{53}|[156]\$(?:rounds=[0-9]+\$)?[^\s$]{1,16}\$[./A-Za-z0-9]{22,86}|argon2(?:id?|d)\$[^\s]+)|\{S?SHA(?:256|512)?\}[A-Za-z0-9+/=]{28,}", trigger="\\$|\\{S", priority=89),
     Rule("PASSWORD_HASH", r"(?i)\b(?:[0-9a-f]{128}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b", cue=r"(?i)(?:hash|md5|sha-?[0-9]*|ntlm|digest)\W*$", needs_cue=True, priority=75),
     Rule("TOTP_SECRET", r"otpauth://[^\s\"'<>]+", trigger="otpauth", priority=95),
@@ -216,10 +222,10 @@ RULES: tuple[Rule, ...] = (
     Rule("CRYPTO_WALLET", r"\b(?:bc1[ac-hj-np-z02-9]{11,71}|0x[0-9a-fA-F]{40})\b", trigger="bc1|0x", priority=79),
     Rule("CRYPTO_WALLET", r"(?<![A-Za-z0-9])[1-9A-HJ-NP-Za-km-z]{25,35}(?![A-Za-z0-9])", cs.base58_check, priority=79),
     Rule("PRODUCT_KEY", r"\b[A-Z0-9]{5}(?:-[A-Z0-9]{5}){4}\b", _product_key, priority=81),
-    Rule("HOSTNAME", r"\b(?:DESKTOP|LAPTOP|WIN)-[A-Z0-9]{7,11}\b|(?<=\\\\)[A-Za-z][A-Za-z0-9\-]{2,14}(?=\\)|\b[a-z][a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.(?:local|lan|internal|corp|intra)\b", priority=48),
+    Rule("HOSTNAME", r"\b(?:DESKTOP|LAPTOP|WIN)-[A-Z0-9]{7,11}\b|(?<=\\\\)[A-Za-z][A-Za-z0-9\-]{2,14}(?=\\)|\b[a-z][a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.(?:local|lan|internal|corp|intra)\b", trigger=r"DESKTOP|LAPTOP|WIN-|\\\\|\.(?:local|lan|internal|corp|intra)", priority=48),
     Rule("HOSTNAME", r"[A-Za-z][A-Za-z0-9\-]*[0-9A-Za-z]", lambda v: F.length(v) >= 3, cue=r"(?i)\b(?:hostname|computer name|host)\s*[:=]\s*$", needs_cue=True, trigger="(?i)host|computer name", priority=47),
-    Rule("DEVICE_ID", r"(?<![0-9])[0-9]{15}(?![0-9])", cs.luhn, cue=r"(?i)imei\W*$", needs_cue=True, trigger="(?i)imei", priority=91),
-    Rule("DEVICE_ID", r"(?<![0-9])89[0-9]{17,18}(?![0-9])", priority=82),
+    Rule("DEVICE_ID", r"(?<![0-9])[0-9]{15}(?![0-9])", cs.luhn, cue=r"(?i)imei\W*$", needs_cue=True, trigger="(?i)imei", priority=91, digits=True),
+    Rule("DEVICE_ID", r"(?<![0-9])89[0-9]{17,18}(?![0-9])", priority=82, digits=True),
     Rule("DEVICE_ID", r"[A-Z0-9][A-Z0-9\-]{5,23}", lambda v: v.rlike("[0-9]"), cue=r"(?i)(?:serial(?: number| no\.?)?|s/n|service tag|asset tag|device id)\s*[:=#]?\s*$", needs_cue=True, trigger="(?i)serial|s/n|tag|device id", priority=57),
     Rule("PASSWORD", r"[^\s\"',;]{4,128}", cue=r"(?i)\b(?:password|passwd|pwd|passphrase|passwort|mot de passe|contraseña)\s*[:=]\s*[\"']?$", needs_cue=True, trigger="(?i)passw|pwd|passphrase|mot de passe|contrase", priority=93),
     Rule("SECRET", r"[A-Za-z0-9_\-./+=]{8,}", cue=r"(?i)\b(?:api[_ \-]?key|secret(?:[_ ]key)?|access[_ ]token|token|bearer)\s*[:=]?\s*[\"']?$", needs_cue=True, trigger="(?i)key|secret|token|bearer", check=lambda v: v.rlike("[0-9]"), priority=92),
@@ -294,7 +300,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
     """``docs`` with a column ``entities``: candidates of all rules, unresolved; a null text has none."""
     rules = [r for r in RULES if labels is None or r.label in labels]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("entities", F.flatten(F.array(*(rule_entities(text, r) for r in rules))))
+    of = lambda some: [rule_entities(text, r) for r in some]
+    numeric, others = of(r for r in rules if r.digits), of(r for r in rules if not r.digits)
+    if numeric:  # one look for all of them
+        others.append(F.when(text.rlike(SIX_DIGITS), F.flatten(F.array(*numeric))).otherwise(F.expr(f"cast(array() as {ENTITY})")))
+    out = docs.withColumn("entities", F.flatten(F.array(*others)))
     if not any(r.label in PROPAGATED for r in rules):
         return out
     anchored = F.exists("entities", lambda e: e["label"].isin(*PROPAGATED))

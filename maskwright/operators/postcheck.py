@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums as cs
+from ..functions.text import exploded
 from . import detect
 from .registry import _cut
 
@@ -26,7 +27,7 @@ def candidates(docs: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """Rule candidates as rows: doc_id, c_label, c_start, c_end, c_valid."""
     # Written before it is unnested: the optimizer would otherwise work on every rule's expression once more.
     found = _cut(detect.detect(docs.select("doc_id", "text"), labels=labels).select("doc_id", "entities"))
-    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", F.col("e.label").alias("c_label"), F.col("e.start").alias("c_start"), F.col("e.end").alias("c_end"), F.col("e.validated").alias("c_valid"))
+    return exploded(found, "entities", "doc_id").select("doc_id", F.col("e.label").alias("c_label"), F.col("e.start").alias("c_start"), F.col("e.end").alias("c_end"), F.col("e.validated").alias("c_valid"))
 
 
 def aligned(entities: DataFrame, found: DataFrame) -> DataFrame:

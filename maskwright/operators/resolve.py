@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_key, collapse
+from ..functions.text import canonical_key, collapse, exploded
 from .detect import ENTITY, EXACT
 
 PLACEHOLDER = r"\[[A-Z0-9_]+_[0-9]+\]"
@@ -22,7 +22,7 @@ def merge_spans(entities: Column) -> Column:
 
 def entity_rows(resolved: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per resolved entity."""
-    return resolved.select(id_col, F.explode("entities").alias("e")).select(id_col, "e.label", "e.start", "e.end", "e.value", "e.validated", "e.source")
+    return exploded(resolved, "entities", id_col).select(id_col, "e.label", "e.start", "e.end", "e.value", "e.validated", "e.source")
 
 
 def value_key(label: Column, value: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_key
+from ..functions.text import canonical_key, exploded
 from .detect import RULES, rule_entities
 
 KEYS = ["doc_id", "sheet"]
@@ -61,13 +61,14 @@ def classify_columns(values: DataFrame, labels: tuple[str, ...] = ("EMAIL", "CRE
     """
     text, rules = F.col("value"), [r for r in RULES if r.label in labels and not r.needs_cue]
     found = F.flatten(F.array(*(F.transform(rule_entities(text, r), lambda e: F.struct(e["label"].alias("label"), ((e["start"] == 0) & (e["end"] == F.length(text))).alias("whole"))) for r in rules)))
-    hits = values.select(*KEYS, "col", "value", F.array_distinct(found).alias("f"))
-    each = hits.select(*KEYS, "col", "value", F.explode("f").alias("f")).groupBy(*KEYS, "col", F.col("f.label").alias("label")).agg(F.countDistinct(F.when(F.col("f.whole"), F.col("value"))).alias("full_hits"), F.countDistinct(F.when(~F.col("f.whole"), F.col("value"))).alias("partial_hits"))
-    best = each.groupBy(*KEYS, "col").agg(F.max_by(F.struct("label", "full_hits", "partial_hits"), F.struct("full_hits", "partial_hits", "label")).alias("b"))
-    size = values.groupBy(*KEYS, "col").agg(F.countDistinct("value").alias("n"))
+    none = F.expr("named_struct('label', cast(null AS string), 'whole', cast(null AS boolean))")  # every value's own row, which counts them
+    hits = exploded(values.select(*KEYS, "col", "value", F.concat(F.array(none), F.array_distinct(found)).alias("f")), "f", *KEYS, "col", "value", name="f")
+    label, each = F.col("label"), hits.groupBy(*KEYS, "col", F.col("f.label").alias("label")).agg(F.countDistinct("value").alias("n"), F.countDistinct(F.when(F.col("f.whole"), F.col("value"))).alias("full_hits"), F.countDistinct(F.when(~F.col("f.whole"), F.col("value"))).alias("partial_hits"))
+    best = F.max_by(F.struct("label", "full_hits", "partial_hits"), F.when(label.isNotNull(), F.struct("full_hits", "partial_hits", "label")))
+    columns = each.groupBy(*KEYS, "col").agg(F.max(F.when(label.isNull(), F.col("n"))).alias("n"), best.alias("b"))
     full, part = F.coalesce("b.full_hits", F.lit(0)), F.coalesce("b.partial_hits", F.lit(0))
     mode = F.when((F.col("n") >= least) & (full * 100 >= F.col("n") * coverage) & (full >= part), "column").when((full + part) >= F.greatest(F.lit(2.0), F.col("n") * model_share), "model").otherwise("regex")
-    return size.join(best, [*KEYS, "col"], "left").select(*KEYS, "col", "n", F.when(full + part > 0, F.col("b.label")).alias("label"), full.alias("full_hits"), part.alias("partial_hits"), mode.alias("mode"))
+    return columns.select(*KEYS, "col", "n", F.when(full + part > 0, F.col("b.label")).alias("label"), full.alias("full_hits"), part.alias("partial_hits"), mode.alias("mode"))
 
 
 def linearise(cells: DataFrame, header: DataFrame | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _entities(spark: SparkSession, sf_dir: str, labels: tuple[str, ...]) -> DataFrame:
     found = detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), labels=labels)
-    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.label", "e.value").groupBy("doc_id", "label", "value").agg(F.count(F.lit(1)).alias("n"))
+    return tx.exploded(found, "entities", "doc_id").select("doc_id", "e.label", "e.value").groupBy("doc_id", "label", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matches_sql(label: str, pattern: str, where: str = "true") -> str:
@@ -76,7 +76,7 @@ def detect_ip(spark, sf_dir):
 def detect_all(spark, sf_dir):
     """Every rule over every document, candidates by label."""
     found = detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select(F.explode("entities").alias("e")).groupBy(F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if("e.validated").alias("n_validated"))
+    return tx.exploded(found, "entities").groupBy(F.col("e.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if("e.validated").alias("n_validated"))
 
 
 _MASKED = ("EMAIL", "CREDITCARDNUMBER", "TELEPHONENUM", "IP_ADDRESS")
@@ -117,7 +117,7 @@ def decode_round_trip(spark, sf_dir):
 def count_by_label(spark, sf_dir):
     """G3, G4 for the four labels."""
     out = resolve.anonymise(detect.detect(read(spark, sf_dir, "documents").select("doc_id", "text"), labels=_MASKED))
-    rows = out.select(F.explode("entities").alias("e")).select("e.label", "e.value")
+    rows = tx.exploded(out, "entities").select("e.label", "e.value")
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("n_unique"))
 
 
@@ -142,7 +142,7 @@ def decode_round_trip_all_rules(spark, sf_dir):
 @query()
 def count_by_label_all_rules(spark, sf_dir):
     """G3, G4 over every rule."""
-    return resolve.by_label(_anonymised(spark, sf_dir).select(F.explode("entities").alias("e")).select("e.label", "e.value"))
+    return resolve.by_label(tx.exploded(_anonymised(spark, sf_dir), "entities").select("e.label", "e.value"))
 
 
 @query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00A0}\\x{202F}\\x{2007}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 20) / 100.0), 1) AS BIGINT))) AS chunk_no FROM w WHERE len(w) > 0) SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(chunk_no * 100 AS INTEGER) AS first_word, CAST(len(w[chunk_no * 100 + 1:chunk_no * 100 + 120]) AS INTEGER) AS n_words, array_to_string(w[chunk_no * 100 + 1:chunk_no * 100 + 120], ' ') AS chunk FROM c")
@@ -340,7 +340,7 @@ def column_classes(spark, sf_dir):
     """What the columns of a derived contact sheet hold."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = (*_MASKED, *sorted({r.label for r in detect.RULES} - {*_MASKED}))
-    found = detect.detect(docs).select(F.explode("entities").alias("e")).select("e.label", "e.value").distinct()
+    found = tx.exploded(detect.detect(docs), "entities").select("e.label", "e.value").distinct()
     values = found.select(F.lit(1).alias("doc_id"), F.lit("contacts").alias("sheet"), F.array_position(F.array(*map(F.lit, labels)), F.col("label")).alias("col"), "value")
     return tables.classify_columns(values)
 

@@ -40,3 +40,24 @@ def test_flagship_masks_every_rule(spark, tmp_path):
     assert back == {i: t or "" for i, t in TEXTS}
     counts = {r.label: r.n for r in registry.QUERIES["count_by_label_all_rules"](spark, str(tmp_path)).collect()}
     assert sum(counts.values()) == sum(n for _, n, _ in got.values()) and counts["SECRET"] == 2
+
+
+def test_gate_and_triggers_hide_nothing(spark):
+    """Rules behind the shared look for digits, or behind a trigger, find what they find alone."""
+    import dataclasses
+    import random
+
+    from pyspark.sql import functions as F
+
+    from maskwright.operators import detect
+
+    r = random.Random(3)
+    parts = ["12/03/2021", "1.2.2020", "3 March 2021", "€ 5", "5 EUR", "078-05-1120", "AB 12 34 56 C", "IT60X0542811101000000123456", "00:1a:2B:3c:4d:5e", "001a.2b3c.4d5e", "WIN-ABCDEF12", "srv.corp", "\\\\FILES\\x", "4111 1111 1111 1111", "DE136695976", "NL123456782B90", "KvK 12345678", "SSN", "x", "1", "-", " ", "756.9217.0769.85", "12345678Z", "company AB123456"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", ", "]) for _ in range(r.randrange(0, 9))) for _ in range(400)]
+    text, df = F.col("text"), spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string")
+    key = lambda e: F.transform(F.array_sort(e), lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["value"], x["priority"].cast("string")))
+    alone = F.flatten(F.array(*(detect.rule_entities(F.coalesce(text, F.lit("")), dataclasses.replace(r, trigger=None)) for r in detect.RULES if r.digits or r.label in ("IBAN", "AMOUNT", "DATE", "MAC_ADDRESS", "UK_NINO") or r.label == "HOSTNAME" and not r.needs_cue)))
+    labels = tuple({r.label for r in detect.RULES if r.digits} | {"IBAN", "AMOUNT", "DATE", "MAC_ADDRESS", "UK_NINO", "HOSTNAME"})
+    both = detect.detect(df, text_col="text", labels=labels).select(key(alone).alias("want"), key(F.col("entities")).alias("got"))
+    rows = both.collect()
+    assert all(not set(x.want) - set(x.got) for x in rows) and sum(len(x.want) for x in rows) > 300
