@@ -3,12 +3,13 @@
 A rule is a host and a path prefix; it fits its host and all subdomains, the longest fitting
 rule decides. Where no rule fits, boosted regression trees on lexical features decide:
 lengths, depth, digit ratio, entropy, punctuation, parameter counts and statistics of the
-host's suffixes. URLs that a rule decides are the labelled ones; a bounded sample of them
-trains the trees (on a wider corpus, labels of any kind can be passed instead).
+host's suffixes. ``train`` fits them on a table of labelled URLs; ``train_on_rules`` takes those that a
+rule decides as the labelled ones. Either takes a bounded sample.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 FIT_ROWS = 20_000
 #: Trees, their depth, learning rate, histogram bins, least rows of a leaf.
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.2, 32, 10
+#: Folds of the labelled rows whose suffix statistics leave them out.
+FOLDS = 5
 #: Features of a URL.
 WIDTH = 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -134,19 +137,37 @@ class Trees:
         return 1 / (1 + np.exp(-f))
 
 
+def suffix_stats(urls: list[tuple[str, str, str]], y: list[int], rate: float) -> dict[str, tuple[float, float]]:
+    """(rate of label 1, log of rows) of suffixes with five rows at least; "" stands for all others."""
+    seen, blocked = Counter(), Counter()
+    for (_, host, _), label in zip(urls, y, strict=True):
+        for s in set(suffixes(host)):
+            seen[s] += 1
+            blocked[s] += label
+    return {s: ((blocked[s] + 5 * rate) / (n + 5), float(np.log(n))) for s, n in seen.items() if n >= 5} | {"": (rate, 0.0)}
+
+
 class UrlModel:
-    """Trees and suffix statistics; 1 stands for block."""
+    """Trees and suffix statistics; 1 stands for block.
+
+    No row's own label is in the statistics that it is fitted with, else the trees would look at nothing but them:
+    each row is fitted twice, with statistics of the other folds of rows and, as the URL of an unseen
+    site, with those of the other folds of sites.
+    """
 
     def __init__(self, urls: list[tuple[str, str, str]], y: list[int]):
-        seen, blocked = Counter(), Counter()
-        for (_, host, _), label in zip(urls, y, strict=True):
-            for s in set(suffixes(host)):
-                seen[s] += 1
-                blocked[s] += label
         rate = sum(y) / len(y) if y else 0.0
-        self.stats = {s: ((blocked[s] + 5 * rate) / (n + 5), float(np.log(n))) for s, n in seen.items() if n >= 5}
-        self.stats[""] = (rate, 0.0)
-        self.trees = Trees().fit(self.matrix(urls), np.array(y, dtype=np.float64))
+        self.stats = suffix_stats(urls, y, rate)
+        by_row = np.arange(len(urls)) % FOLDS
+        by_site = np.array([zlib.crc32(suffixes(host)[1].encode()) % FOLDS for _, host, _ in urls], dtype=np.int64)
+        rows, labels = [], []
+        for fold in (by_row, by_site):
+            for k in range(FOLDS):
+                rest, own = np.flatnonzero(fold != k).tolist(), np.flatnonzero(fold == k).tolist()
+                stats = suffix_stats([urls[i] for i in rest], [y[i] for i in rest], rate)
+                rows += [features(*urls[i], stats) for i in own]
+                labels += [y[i] for i in own]
+        self.trees = Trees().fit(np.array(rows, dtype=np.float64).reshape(len(rows), WIDTH), np.array(labels, dtype=np.float64))
 
     def matrix(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
         return np.array([features(*u, self.stats) for u in urls], dtype=np.float64).reshape(len(urls), WIDTH)
@@ -155,13 +176,24 @@ class UrlModel:
         return self.trees.predict(self.matrix(urls))
 
 
-def train_on_rules(pages: DataFrame, url_col: str = "url", rules=RULES, fit_rows: int = FIT_ROWS) -> UrlModel:
-    """Fit on at most ``fit_rows`` distinct URLs that a rule decides."""
+def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", fit_rows: int = FIT_ROWS) -> UrlModel:
+    """Fit on at most ``fit_rows`` distinct URLs of a table with labels, 1 for block and 0 for allow.
+
+    Null URLs and null labels are left out; a URL with both labels counts as blocked; without rows, or with one
+    label alone, every URL gets that rate as its score.
+    """
     url = F.col(url_col).cast("string")
-    host, path = host_of(url), path_of(url)
-    rows = pages.select(url.alias("url"), host.alias("host"), path.alias("path"), rule_of(host, path, rules)[1].alias("verdict")).where("verdict IS NOT NULL").distinct()
+    rows = labelled.select(url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(label_col).cast("int").alias("label"))
+    rows = rows.where("url IS NOT NULL AND label IS NOT NULL").groupBy("url", "host", "path").agg(F.max("label").alias("label"))
     got = rows.orderBy(F.xxhash64("url"), "url").limit(fit_rows).collect()
-    return UrlModel([(r.url, r.host, r.path) for r in got], [int(r.verdict == "block") for r in got])
+    return UrlModel([(r.url, r.host, r.path) for r in got], [r.label for r in got])
+
+
+def train_on_rules(pages: DataFrame, url_col: str = "url", rules=RULES, fit_rows: int = FIT_ROWS) -> UrlModel:
+    """Fit on the URLs that a rule decides, for tables without labels; see :func:`train`."""
+    url = F.col(url_col).cast("string")
+    verdict = rule_of(host_of(url), path_of(url), rules)[1]
+    return train(pages.select(url.alias("url"), F.when(verdict.isNotNull(), (verdict == "block").cast("int")).alias("label")), fit_rows=fit_rows)
 
 
 def judge(pages: DataFrame, model: UrlModel, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
