@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_key, collapse, too_noisy
+from ..functions.text import canonical_key, collapse, exploded, too_noisy
 from .detect import EXACT
 
 #: Label spellings that mean the same (fixed values).
@@ -25,6 +25,8 @@ TITLES = "mr|mrs|ms|dr|prof|sig|sigra|ing|avv|herr|frau|mme|sr|sra"
 LEGAL_FORMS = "srl|spa|sas|snc|gmbh|ag|kg|ug|ltd|llc|inc|plc|corp|sa|sarl|sl|nv|bv"
 #: Surfaces that one automaton of a text pass holds.
 BLOCK = 20_000
+#: Words of a surface by which it is looked up, and bytes of surfaces that are told to every task.
+HEAD, SURFACE_BYTES = 8, 8 << 20
 
 
 def label_group(label: Column) -> Column:
@@ -164,20 +166,42 @@ def redact(docs: DataFrame, surfaces: list[tuple[str, str]], id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(kernel, f"{id_col} long, redacted string, occurrences long, by_placeholder map<string,bigint>")
 
 
+def _words(c: Column) -> Column:
+    """Words of a text's canonical form."""
+    return F.filter(F.split(canonical_key(c), r"(?U)[^\w]+"), lambda w: w != "")
+
+
 def occurrences(docs: DataFrame, surfaces: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, placeholder, surface`` for surfaces that occur in a text as a run of whole words; a join on the surface's first word.
+    """``id, placeholder, surface`` for surfaces that occur in a text as a run of whole words; a join on runs of words.
 
-    Any number of surfaces: words of the texts meet first words of surfaces by hash, candidates are verified on the text around the hit.
+    Each text gives its distinct runs of as many words as surfaces have, HEAD at most; they meet the surfaces by equality. Of
+    longer surfaces the first HEAD words find the texts, which are then searched for the whole. One count of the surfaces says
+    which lengths there are, and whether they are told to every task (BLOCK of them, SURFACE_BYTES at most) or dealt out:
+    Catalyst's own choice goes by the size of files, in which repeats are small, and may send the texts' words to the driver.
     """
-    plain = lambda c: F.concat(F.lit(" "), F.array_join(F.filter(F.split(canonical_key(c), r"(?U)[^\w]+"), lambda w: w != ""), " "), F.lit(" "))
-    s = surfaces.select("placeholder", "surface", plain(F.col("surface")).alias("form")).withColumn("first", F.split(F.trim("form"), " ")[0])
-    words = docs.select(id_col, F.posexplode(F.filter(F.split(canonical_key(F.coalesce(F.col(text_col), F.lit(""))), r"(?U)[^\w]+"), lambda w: w != "")).alias("pos", "word"))
-    longest = F.size(F.split(F.trim("form"), " "))
-    near = words.join(s.select("first", "placeholder", "surface", "form", longest.alias("size")), words["word"] == F.col("first"))
-    w = words.select(F.col(id_col).alias("other"), F.col("pos").alias("at"), F.col("word").alias("next"))
-    parts = near.join(w, (F.col(id_col) == F.col("other")) & (F.col("at") >= F.col("pos")) & (F.col("at") < F.col("pos") + F.col("size")))
-    runs = parts.groupBy(id_col, "pos", "placeholder", "surface", "form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "next"))), lambda x: x["next"]), " ").alias("run"))
-    return runs.where(F.col("run") == F.trim("form")).select(id_col, "placeholder", "surface").distinct()
+    s = surfaces.select("placeholder", "surface", _words(F.col("surface")).alias("words")).where(F.size("words") > 0).distinct()
+    head = F.array_join(F.slice("words", 1, HEAD), " ")
+    s = s.select("placeholder", "surface", head.alias("head"), F.array_join("words", " ").alias("form"), F.size("words").alias("size"))
+    bytes_ = sum(F.octet_length(c) for c in ("surface", "head", "form"))
+    sizes = s.groupBy(F.least("size", F.lit(HEAD)).alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.sum(bytes_).alias("bytes"), F.max("size").alias("longest")).collect()  # HEAD rows at most
+    few = sum(r.rows for r in sizes) <= BLOCK and sum(r.bytes for r in sizes) <= SURFACE_BYTES
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
+        return F.when(F.size("words") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    words = docs.select(id_col, _words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    every = F.array_distinct(F.flatten(F.array(*[runs(r.n) for r in sizes]))) if sizes else F.array().cast("array<string>")
+    each = exploded(words.select(id_col, every.alias("runs")), "runs", id_col, name="run")
+    hits = each.join(F.broadcast(s) if few else s.hint("merge"), F.col("run") == F.col("head"))
+    short = hits.where(F.col("size") <= HEAD).select(id_col, "placeholder", "surface")
+    if all(r.longest <= HEAD for r in sizes):
+        return short.distinct()
+    long = hits.where(F.col("size") > HEAD).select(F.col(id_col).alias("__id"), "placeholder", "surface", "form").distinct()
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    texts = words.select(id_col, padded(F.array_join("words", " ")).alias("__text"))
+    whole = texts.hint("merge").join(long, F.col(id_col).eqNullSafe(F.col("__id"))).where(F.contains("__text", padded(F.col("form"))))
+    return short.union(whole.select(id_col, "placeholder", "surface")).distinct()
 
 
 def leaks(docs: DataFrame, surfaces: DataFrame, older: DataFrame | None = None, **cols: str) -> DataFrame:
