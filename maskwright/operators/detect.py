@@ -296,10 +296,34 @@ def propagated(text: Column, entities: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(distinct, again)))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` with a column ``entities``: candidates of all rules, unresolved; a null text has none."""
-    rules = [r for r in RULES if labels is None or r.label in labels]
+def one_scan(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Entities of rules that are alternatives of one scan from left to right, in this order: what a match covers, checked or not, no other rule sees.
+
+    For rules whose check looks at the value alone; a match belongs to the first rule that takes all of it.
+    """
+    if any(r.cue or r.veto for r in rules):
+        raise ValueError("rules with a cue or a veto have no place in one scan")
+    every = "|".join(f"(?:{r.pattern})" for r in rules)
+
+    def entity(s: Column) -> Column:
+        whole = [s["value"].rlike(rf"\A(?:{r.pattern})\z") for r in rules]
+        pick = lambda of: F.coalesce(*[F.when(w, of(r)) for w, r in zip(whole, rules, strict=True)])
+        ok = F.coalesce(pick(lambda r: r.check(s["value"])), F.lit(False))
+        return F.struct(pick(lambda r: F.lit(r.label)).alias("label"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), ok.alias("validated"), F.lit(1.0).alias("score"), pick(lambda r: F.lit(r.priority)).alias("priority"), F.lit("regex").alias("source"))
+
+    found = F.filter(F.transform(spans(text, every), entity), lambda e: e["validated"])
+    return F.when(text.rlike(every), found).otherwise(F.expr(f"cast(array() as {ENTITY})"))
+
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, ...] | None = None, rules: tuple[Rule, ...] = RULES, scan: bool = False) -> DataFrame:
+    """``docs`` with a column ``entities``: candidates of all rules, unresolved; a null text has none.
+
+    With ``scan`` the rules are alternatives of a single scan, see :func:`one_scan`.
+    """
+    rules = [r for r in rules if labels is None or r.label in labels]
     text = F.coalesce(F.col(text_col), F.lit(""))
+    if scan:
+        return docs.withColumn("entities", one_scan(text, tuple(rules)))
     of = lambda some: [rule_entities(text, r) for r in some]
     numeric, others = of(r for r in rules if r.digits), of(r for r in rules if not r.digits)
     if numeric:  # one look for all of them
