@@ -460,7 +460,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Texts without words and rows with a null id stay. Of rows that share a kept id and have
     words, one stays.
     """
-    parts = jaccard_components(docs, id_col, text_col, **how)
+    # Three numbers for each row, read three times: written, they spare the driver the plan of the whole join in each of them.
+    parts = cut(jaccard_components(docs, id_col, text_col, **how))
+    release(docs.sparkSession)
     leave = parts.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(leave, docs[id_col] == F.col("__gone"), "left_anti")
     twice = parts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select(F.col("doc_id").alias("__twice"))

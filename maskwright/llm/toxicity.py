@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, remember, texts_of
+from .common import chunks, give_back, map_batches, release, remember, texts_of
 
 #: Words of a window and from one window to the next.
 WINDOW, STEP = 40, 30
@@ -265,17 +265,21 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 3, b
     weight_of = dict(zip(words, odds.tolist(), strict=True))
     distinct = sorted({w for i in fit for w in docs[i]})
     number = {w: k for k, w in enumerate(distinct)}
-    rows, grams = net.inputs(distinct)
-    wide = min(12, max((len(g) for g in grams), default=1))
+    wide = min(12, max((max(1, len(w)) for w in distinct), default=1))  # a word has as many trigrams as characters
+    rows = np.zeros(len(distinct) + 1, np.int64)
     gram = np.zeros((len(distinct) + 1, wide), np.int32)
     gmask = np.zeros((len(distinct) + 1, wide), np.float32)
     gmask[-1, 0] = 1
-    for k, g in enumerate(grams):
-        gram[k, : len(g[:wide])], gmask[k, : len(g[:wide])] = g[:wide], 1
-    rows = np.append(rows, 0)
+    for lo in range(0, len(distinct), 1 << 14):
+        some = distinct[lo : lo + (1 << 14)]
+        rows[lo : lo + len(some)], grams = net.inputs(some)
+        for k, g in enumerate(grams, lo):
+            gram[k, : len(g[:wide])], gmask[k, : len(g[:wide])] = g[:wide], 1
     ids = {i: np.array([number[w] for w in docs[i]], dtype=np.int32) for i in fit}
-    docs.clear()
     value = np.array([weight_of.get(w, 0.0) for w in distinct])
+    unknown = len(distinct)
+    del docs, distinct, number, weight_of
+    give_back()
     m1, m2, moment = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}, 0
     for epoch in range(epochs):
         chosen: list[tuple[int, int]] = []
@@ -291,11 +295,11 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = 3, b
         rng.shuffle(chosen)
         for lo in range(0, len(chosen), batch):
             part = chosen[lo : lo + batch]
-            at = np.full((WINDOW, len(part)), len(distinct), np.int64)
+            at = np.full((WINDOW, len(part)), unknown, np.int64)
             for k, (i, s) in enumerate(part):
                 own = ids[i][s : s + WINDOW]
                 at[: len(own), k] = own
-            mask = (at < len(distinct)).astype(np.float32)[:, :, None]
+            mask = (at < unknown).astype(np.float32)[:, :, None]
             y = np.array([y_all[i] for i, _ in part])
             got = net.step_gradients(rows[at], gram[at], gmask[at], mask, y, np.ones(len(part)))
             moment += 1
@@ -342,11 +346,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     few = docs.sparkSession.createDataFrame(chosen, "id long, y int")
     rows = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"), F.max("y").alias("y")).toArrow()  # at most fit_bytes
     got = sorted(((zlib.crc32(str(i).encode()), i, t, y) for i, t, y in zip(*(rows.column(c).to_pylist() for c in ("id", "text", "y")), strict=True)), key=lambda r: r[:2])
-    del rows
-    net = train([r[2] for r in got], [r[3] for r in got])
+    of = {y: max(1, sum(r[3] == y for r in got)) for y in n}
+    sample = [r[2] for r in got], [r[3] for r in got]
+    del rows, got
+    net = train(*sample)
     if len(n) == 2 and net.scale:
         share = lambda c: np.log(c[1] / c[0])
-        net.shift += float(share(rates) - share({y: max(1, sum(r[3] == y for r in got)) for y in n}))
+        net.shift += float(share(rates) - share(of))
+    del sample
+    # What the fit needed goes back to the system: the driver holds the plans of whatever comes next.
+    release(docs.sparkSession)
+    give_back()
     return net
 
 
